@@ -11,10 +11,12 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, since one row here can hold a very long text."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bound an Arrow batch's rows and bytes, since one row here can hold a very long text."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if int(spark._jsparkSession.sessionState().conf().getConfString(key, str(2**31 - 1)).rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, n_small: int) -> DataFrame:
