@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlore.llm.common import small_batches
 
-SAMPLE, EXCERPT = 160, 512
-BLOCK, LEVEL = 2048, 3
+SAMPLE, EXCERPT = 320, 512
+BLOCK, LEVEL = 2048, 6
 #: A text is rejected if the second best is larger than the best by less than this many bytes and
 #: by less than this part of the best.
 MARGIN_BYTES, MARGIN_PART = 4, 0.01
