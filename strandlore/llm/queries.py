@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandlore.llm import langid, media, mixing, packing, pii, sharding, simhash, topk, warc
+from strandlore.llm import langid, license_scan, media, mixing, packing, pii, sharding, simhash, topk, warc
 from strandlore.sources.tables import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_mixing, op4_warc, op5_simhash, op6_topk, op7_pii, op8_media, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mixing, op4_warc, op5_simhash, op6_topk, op7_pii, op8_media, op9_sharding, op10_packing)}
 
 ORACLES = {
     "op6_topk": """
