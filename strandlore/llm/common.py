@@ -19,6 +19,16 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that names in it clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def unboxed(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of ``docs`` from ``_row``, but for those in ``instead``."""
+    return [instead.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, n_small: int) -> DataFrame:
     """Left join of ``rows`` to a table with unique keys, where one key may hold a third of the rows.
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlore.llm.common import small_batches
+from strandlore.llm.common import boxed, small_batches, unboxed
 
 SAMPLE, EXCERPT = 320, 512
 BLOCK, LEVEL = 2048, 6
@@ -109,4 +109,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is told clearly, with their own columns."""
     model = fit(docs.where(fold() != 0).select("text", "lang"))
-    return with_prediction(docs, model).where(~F.col("_lang.rejected")).select(*docs.columns)
+    return with_prediction(docs.select(boxed(docs), "text"), model).where(~F.col("_lang.rejected")).select(*unboxed(docs))

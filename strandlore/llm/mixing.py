@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandlore.llm.common import WORD
+from strandlore.llm.common import WORD, boxed, unboxed
 from strandlore.session import cut
 
 LEVELS = ["_src", "_class", "_b1", "_b2"]
@@ -120,5 +120,6 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share=(3, 2), cap: int = 2
     The first scan counts cells; the second carries the texts through one shuffle by cell.
     """
     table = cells(placed(docs.select("doc_id", "text", "source"), seed).drop("text"), weights, share, cap, seed)
-    out = with_copies(placed(docs, seed), table, cap).where(F.col("_copies") > 0)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    rows = placed(docs.select(boxed(docs), "doc_id", "text", "source"), seed).drop("text", "source")
+    out = with_copies(rows, table, cap).where(F.col("_copies") > 0)
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unboxed(docs))

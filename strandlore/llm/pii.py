@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlore.llm.common import lookup_join
+from strandlore.llm.common import boxed, lookup_join, unboxed
 from strandlore.session import cut
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -120,12 +120,12 @@ def near_terms(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.array_distinct(F.filter(F.flatten(F.transform(spans, around)), free)))
 
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+def scan(docs: DataFrame, *keep: Column | str) -> DataFrame:
     """``keep``, the row's key, its base spans and its candidate terms; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))
     return (
-        docs.select(*[F.col(c) for c in keep], F.col("doc_id").alias("_doc"), text.alias("_text"), key.alias("_key"))
+        docs.select(*keep, F.col("doc_id").alias("_doc"), text.alias("_text"), key.alias("_key"))
         .withColumn("_base", base_spans(F.col("_text")))
         .withColumn("_near", near_terms(F.col("_text"), F.col("_base")))
     )
@@ -186,7 +186,7 @@ def _terms(terms: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts by kind, the digest of the base spans, and all spans, per document."""
-    scanned = cut(scan(docs, ["doc_id"]).drop("_text"))
+    scanned = cut(scan(docs, "doc_id").drop("_text"))
     terms = term_spans(scanned, docs)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     joined = lookup_join(scanned, terms, ["_key"], F.col("_doc"), terms.count())
@@ -204,9 +204,9 @@ PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all spans replaced, and ``n_chars`` set anew; overlapping spans count as one."""
-    scanned = cut(scan(docs, []).drop("_text"))
+    scanned = cut(scan(docs).drop("_text"))
     terms = term_spans(scanned, docs)
-    rows = scan(docs, docs.columns).drop("_near")
+    rows = scan(docs, boxed(docs)).drop("_near")
     joined = lookup_join(rows, terms, ["_key"], F.col("_doc"), terms.count())
     spans = F.array_sort(F.concat(_named(F.col("_base")), _terms(F.col("_terms"))))
     stand_in = F.lit(None).cast("string")
@@ -221,6 +221,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     dirty = F.size(F.col("_base")) > 0
-    out = joined.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("text")))
-    fields = {"text": F.col("_clean"), "n_chars": F.when(dirty, F.length("_clean").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[fields[c].alias(c) if fields.get(c) is not None else F.col(c) for c in docs.columns])
+    out = joined.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("_row.text")))
+    instead = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        instead["n_chars"] = F.when(dirty, F.length("_clean").cast(kind)).otherwise(F.col("_row.n_chars"))
+    return out.select(*unboxed(docs, **instead))
