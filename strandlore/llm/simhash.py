@@ -7,8 +7,8 @@ of the eight positions hold three of the first four or three of the last four, s
 within the halves miss no pair. In a posting the shared positional bytes of each pair are tallied,
 pairs that reach the guaranteed five are kept, and those are verified bit by bit.
 
-Work is on distinct fingerprints, so copies cost nothing. A posting of more than FEW members yields a
-spanning forest of its links, at most one row a member, not its pairs; one of more than BLOCK is cut
+Work is on distinct fingerprints, so copies cost nothing. A posting of more than FEW members yields
+a star for each component among them, at most one row a member, not its pairs; one of more than BLOCK is cut
 into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: a text without words (or null) has fingerprint zero and is linked like any other; a
@@ -76,7 +76,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning links of the near pairs between two blocks (or within one, if both are the same)."""
+    """A star for each component that the near pairs between two blocks (or within one) make: least member, other member."""
     a, b = groups
     parent = {int(x): int(x) for x in fps}
 
@@ -86,7 +86,6 @@ def forest(fps: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> list[tuple
             x = parent[x]
         return x
 
-    links = []
     for at in range(0, len(a), 256):  # 256 x BLOCK pairs at a time
         left = a[at : at + 256]
         i, j = np.nonzero(_near(left, b))
@@ -94,8 +93,7 @@ def forest(fps: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> list[tuple
             p, q = top(u), top(v)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                links.append((u, v))
-    return links
+    return [(t, x) for x in parent if (t := top(x)) != x]
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -149,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each node takes the least label among its neighbours and itself, then its label's
     label. Rounds grow with the logarithm of a component's diameter; every round is checkpointed.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct())
+    both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct().repartition("v"))
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_l")).select("node", F.least("node", "_l").alias("label")))
     while True:
         offered = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("_offer"))
