@@ -40,7 +40,7 @@ def content_chunks(data: bytes, least: int, average: int, most: int) -> list[tup
     mask = (1 << bits) - 1
     gear = (gear_table() & np.uint64(mask)).astype(np.int64)[np.frombuffer(data, np.uint8)]
     rolled = np.zeros(len(data), np.int64)
-    for k in range(bits):
+    for k in range(min(bits, len(data))):
         rolled[k:] += gear[: len(data) - k] << k
     candidates = np.flatnonzero(rolled & mask == 0)
     out, start = [], 0
