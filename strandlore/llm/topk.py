@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandlore.llm.common import small_batches
 
 #: Rows of the sample, vectors of a tile, queries of a group, most annuli of all pivots, annuli of a pivot.
-SAMPLE, TILE, GROUP, BLOCKS, RINGS = 2048, 1024, 128, 512, 4
+SAMPLE, TILE, GROUP, BLOCKS, RINGS = 2048, 1024, 512, 512, 4
 KEYED = "vec_id long, v binary, cell int, ring int, dist double"
 HITS = "query_id long, vec_id long, score long"
 
@@ -83,6 +83,15 @@ class Geometry:
     def dot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64) if self.safe else a @ b.T
 
+    def best(self, score: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The k best columns of each row, the first ones on ties; own columns last."""
+        n = score.shape[1]
+        if n <= self.k or not self.safe or n > 1 << 10:
+            return np.argsort(np.where(own, np.iinfo(np.int64).max, -score), axis=1, kind="stable")[:, : self.k]
+        # below 2 ** 53, so score and column fit one integer and no two are equal
+        order = np.where(own, np.iinfo(np.int64).min, (score << 10) - np.arange(n))
+        return np.argpartition(order, n - self.k, axis=1)[:, n - self.k :]
+
     def floor_scores(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """A score that each query's k-th best is sure to reach."""
         s = self.dot(q, self.sample).astype(float)
@@ -99,7 +108,7 @@ class Geometry:
         return (q2 + self.norm2 - least**2) / 2 + 1e-6 * (1 + q2 + self.norm2)
 
 
-def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, queries: Column, k: int = 5, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; ``queries`` is a condition on ``key``."""
     spark = df.sparkSession
     small_batches(spark)
@@ -133,8 +142,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", embed
     salted = index.join(sizes, ["cell", "ring"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("_tiles")))
     tiles = salted.groupBy("cell", "ring", "tile").agg(F.collect_list(F.struct("vec_id", "v")).alias("members"))  # about TILE each
 
-    groups = max(1, math.ceil(facts["rows"] / GROUP / 8))
-    asked = base.where(queries).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    asked = base.where(queries)
+    groups = max(1, math.ceil(asked.count() / GROUP))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
 
     def visits(rows: pd.DataFrame) -> pd.DataFrame:
         """The annuli that a group of queries must see, and for each the queries that must see it."""
@@ -161,7 +171,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", embed
                 ids, x = ids[order], x[order]
                 score = geo.dot(q, x)
                 own = qids[:, None] == ids[None, :]
-                best = np.argsort(np.where(own, np.iinfo(np.int64).max, -score), axis=1, kind="stable")[:, : geo.k]
+                best = geo.best(score, own)
                 i = np.repeat(np.arange(len(q)), best.shape[1])
                 j = best.ravel()
                 ok = ~own[i, j] & (score[i, j] >= np.frombuffer(r["floor"], np.float64)[i])
