@@ -113,9 +113,9 @@ def color_nearest(t):
  x AS (SELECT *, greatest(rf, gf, bf) AS mx, greatest(rf, gf, bf) - least(rf, gf, bf) AS delta FROM u),
  y AS (SELECT doc_id, CASE WHEN delta = 0 THEN 0.0 WHEN mx = rf THEN 60.0::DOUBLE * ((((gf - bf) / delta) % 6.0::DOUBLE + 6.0::DOUBLE) % 6.0::DOUBLE)
    WHEN mx = gf THEN 60.0::DOUBLE * ((bf - rf) / delta + 2.0::DOUBLE) ELSE 60.0::DOUBLE * ((rf - gf) / delta + 4.0::DOUBLE) END AS a FROM x)
- SELECT doc_id, round(CASE WHEN a < 0 THEN a + 360.0 ELSE a END, 4) AS hue FROM y""")
+ SELECT doc_id, round(CASE WHEN a < 0 THEN a + 360.0 ELSE a END, 6) AS hue FROM y""")
 def color_hue(t):
-    return _colors(t).select("doc_id", F.round(X.hue(F.col("c")), 4).alias("hue"))
+    return _colors(t).select("doc_id", F.round(X.hue(F.col("c")), 6).alias("hue"))
 
 
 _LATTICE = """

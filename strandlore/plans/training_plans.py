@@ -106,9 +106,9 @@ def disk_health(t):
     return t.supplier.select("s_suppkey", F.when(free < 1000, "unhealthy").when(free < 3000, "degraded").otherwise("healthy").alias("status"))
 
 
-@R.add("SELECT user_id, event_type, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
+@R.add("SELECT user_id, event_type, round(avg(value), 8) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
 def savings_averages(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
+    return t.events.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("n"))
 
 
 @R.add("SELECT date_trunc('day', ts) AS window_start, event_type, CASE " + " ".join(f"WHEN value <= {b} THEN {i}" for i, b in enumerate(observability.BOUNDS)) + f" ELSE {len(observability.BOUNDS)} END AS bucket, count(*) AS n FROM events GROUP BY ALL")
