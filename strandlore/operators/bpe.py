@@ -19,8 +19,8 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def byte_tokens(word: Column, special: int = 0) -> Column:
     """UTF-8 bytes as ids, after the special ones."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + special)
+    bytes_as_chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character per byte
+    return F.transform(F.split(bytes_as_chars, ""), lambda c: F.ascii(c) + special)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
