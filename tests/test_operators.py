@@ -150,3 +150,15 @@ def test_probabilities_add_up(spark, sf):
     hidden = F.array(*[F.lit(0.1 * (i % 5)) for i in range(64)])
     total = V.hierarchical_softmax(e, "vec_id", "label", "embedding", hidden, 10).agg(F.sum("probability")).first()[0]
     assert abs(total - 1) < 1e-9
+
+
+def test_blake3_equals_the_jvm(spark):
+    from strandlore.functions.blake3 import blake3_id, digest
+
+    assert digest(b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    java = spark.sparkContext._jvm.org.apache.commons.codec.digest.Blake3
+    for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 5000, 7168, 100_000):
+        data = bytes(i % 251 for i in range(n))
+        assert digest(data) == bytes(java.hash(data)).hex()
+    got = spark.createDataFrame([("abc",), (None,)], "t string").select(blake3_id("t").alias("b")).collect()
+    assert got[0].b.startswith("blake3:6437b3ac") and got[1].b is None
