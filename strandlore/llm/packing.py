@@ -31,6 +31,7 @@ SEQUENCE, EOS = 2048, 1
 BUCKET_DOCS = 1024
 #: Words that a worker remembers, and the longest word it remembers.
 WORDS_KEPT, WORD_CHARS = 1_000_000, 48
+NO_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 #: Cost of a piece of n ids: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -42,8 +43,8 @@ class WordIds(dict):
     """Ids, as little-endian unsigned 32-bit bytes, by text between blanks.
 
     The tokenizer never joins what white space separates, so a text's ids are those of its parts;
-    most parts recur, so most texts cost one dictionary look-up a word. A part of letters and one
-    closing mark takes the ids of the two, which the tokenizer separates as well.
+    most parts recur, so most texts cost one dictionary look-up a word. A part of letters and closing
+    ASCII marks or digits takes the ids of the two, which the tokenizer separates as well.
     """
 
     def __init__(self, path: str):
@@ -53,8 +54,9 @@ class WordIds(dict):
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
 
     def __missing__(self, part: str) -> bytes:
-        if len(part) > 1 and part[-1] in ".,;:!?" and part[:-1].isalpha():
-            ids = self[part[:-1]] + self[part[-1]]
+        stem = part.rstrip(NO_LETTERS)
+        if stem != part and stem.isalpha():
+            ids = self[stem] + self[part[len(stem) :]]
         else:
             ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(self) < WORDS_KEPT and len(part) <= WORD_CHARS:
