@@ -68,4 +68,5 @@ def artifacts(rows: DataFrame, name: Column, kind: Column, data: Column, level:
 def masked(data: Column, key: int = 0xA5) -> Column:
     """Every byte XORed with one key byte; masking twice gives the data back. A test double, not encryption."""
     bytes_as_chars = F.split(F.decode(data, "ISO-8859-1"), "")
-    return F.encode(F.array_join(F.transform(bytes_as_chars, lambda c: F.chr(F.ascii(c).bitwiseXOR(key).cast("long"))), ""), "ISO-8859-1")
+    turned = F.encode(F.array_join(F.transform(bytes_as_chars, lambda c: F.chr(F.ascii(c).bitwiseXOR(key).cast("long"))), ""), "ISO-8859-1")
+    return F.when(F.octet_length(data) == 0, data).otherwise(turned)
