@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def floored_counts(events: DataFrame, key: str, delta: str, order: list[str]) -> DataFrame:
+def floored_counts(events: DataFrame, key: str, delta: str, order: list[str], span: Column | None = None) -> DataFrame:
     """Counts that never fall below zero, though each decrement is applied in order.
 
-    Closed form of the fold max(0, count + delta): last sum less the least prefix sum below zero. The
-    window partitions by key; only three narrow columns are sorted.
+    Closed form of the fold max(0, count + delta): last sum less the least prefix sum below zero. A
+    key's events are cut by ``span``, a value that rises with the order (a day, say): prefix sums run
+    within a span, and a key's spans are combined from their sums and least prefix sums. So a hot
+    key's events are many tasks' work. Without a span a key is one window.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = events.select(key, delta, *[c for c in order if c != key]).withColumn("_sum", F.sum(delta).over(w))
-    return sums.groupBy(key).agg((F.sum(delta) - F.least(F.lit(0), F.min("_sum"))).cast("long").alias("ref_count"))
+    rows = events.select(key, delta, *[c for c in order if c != key], (F.lit(0) if span is None else span).alias("_span"))
+    w = Window.partitionBy(key, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.withColumn("_sum", F.sum(delta).over(w)).groupBy(key, "_span").agg(F.sum(delta).alias("_total"), F.min("_sum").alias("_least"))
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lowest = F.least(F.lit(0), F.min(F.col("_before") + F.col("_least")))
+    return spans.withColumn("_before", before).groupBy(key).agg((F.sum("_total") - lowest).cast("long").alias("ref_count"))
 
 
 def access_records(accesses: DataFrame, key: str, at: str) -> DataFrame:
@@ -74,14 +79,15 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str]) -> Dat
 def eviction_order(entries: DataFrame, keep: int) -> DataFrame:
     """Entries to evict so that ``keep`` stay: never pinned ones; rarest first, then longest unused. (entry, uses, last_use, pinned)
 
-    The bound is per call, so positions are global: sizes of the use counts are prefix-summed, entries numbered within.
+    Positions are global: classes (use count, hour of last use) are counted and prefix-summed, entries
+    are numbered within their class, so that no task sorts all of them.
     """
-    loose = entries.where(~F.col("pinned"))
-    sizes = loose.groupBy("uses").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("uses").rowsBetween(Window.unboundedPreceding, -1)
+    loose = entries.where(~F.col("pinned")).withColumn("_hour", F.date_trunc("hour", "last_use"))
+    sizes = loose.groupBy("uses", "_hour").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("uses", "_hour").rowsBetween(Window.unboundedPreceding, -1)
     totals = entries.agg(F.count("*").alias("_all"))  # one row
-    within = F.row_number().over(Window.partitionBy("uses").orderBy("last_use", "entry"))
-    placed = loose.withColumn("_nth", within).join(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "uses")
+    within = F.row_number().over(Window.partitionBy("uses", "_hour").orderBy("last_use", "entry"))
+    placed = loose.withColumn("_nth", within).join(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), ["uses", "_hour"])
     return placed.join(F.broadcast(totals)).where(F.col("_before") + F.col("_nth") <= F.col("_all") - keep).select("entry", "uses", "last_use", (F.col("_before") + F.col("_nth")).alias("eviction_rank"))
 
 

@@ -40,19 +40,35 @@ def counters_and_gauges(rows: DataFrame, name: str, value: str, seq: str) -> Dat
     return rows.groupBy(name).agg(F.round(F.sum(value), 4).alias("counter"), F.max(F.struct(seq, value))[value].alias("gauge"))
 
 
-def span_summary(spans: DataFrame, operation: str, duration: str, failed: Column) -> DataFrame:
-    """Count, mean, extremes, index-based median and 95th percentile, errors, per operation.
+def order_statistics(rows: DataFrame, key: str, value: str, index: dict[str, Column]) -> DataFrame:
+    """(key, a column per entry of ``index``): the value at a zero-based place in the key's sorted values.
 
-    Order statistics come from ranks, not from collected lists, so an operation may have any number of spans.
+    ``index`` maps a name to a place in terms of the key's row count ``n``. Values fall into monotone
+    buckets, whose counts find the bucket of each place; only that bucket's distinct values are
+    then ordered. A key may hold any number of rows, and one value any part of them.
     """
-    w = Window.partitionBy(operation)
-    ranked = spans.withColumn("_i", F.row_number().over(w.orderBy(duration)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_bad", failed)
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(duration)))
-    n = F.col("_n")
-    return ranked.groupBy(operation).agg(
-        F.count("*").alias("n"), F.round(F.avg(duration), 4).alias("mean"), F.min(duration).alias("least"), F.max(duration).alias("most"),
-        at(F.floor(n / 2)).alias("p50"), at(F.least(F.floor(n * F.lit(0.95)), n - 1)).alias("p95"), F.count_if("_bad").alias("errors"),
-    )
+    v = F.col(value)
+    rows = rows.where(v.isNotNull()).select(key, v.alias("_v"), (F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 256)).alias("_b"))
+    counts = rows.groupBy(key, "_b").agg(F.count("*").alias("_c"))
+    until = F.sum("_c").over(Window.partitionBy(key).orderBy("_b"))
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in index.items()]))
+    # a few thousand buckets a key
+    wanted = counts.withColumn("_until", until).withColumn("n", F.sum("_c").over(Window.partitionBy(key))).withColumn("_p", places)
+    wanted = wanted.where((F.col("_p.at") < F.col("_until")) & (F.col("_p.at") >= F.col("_until") - F.col("_c")))
+    wanted = wanted.select(key, "_b", F.col("_p.name").alias("_name"), (F.col("_p.at") - F.col("_until") + F.col("_c")).alias("_at"))
+    within = rows.join(wanted, [key, "_b"]).groupBy(key, "_name", "_at", "_v").agg(F.count("*").alias("_c"))
+    reached = within.withColumn("_until", F.sum("_c").over(Window.partitionBy(key, "_name").orderBy("_v"))).where(F.col("_until") > F.col("_at"))
+    return reached.groupBy(key).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in index])
+
+
+def span_summary(spans: DataFrame, operation: str, duration: str, failed: Column) -> DataFrame:
+    """Count, mean, extremes, index-based median and 95th percentile, errors, per operation."""
+    n = F.col("n")
+    ranks = order_statistics(spans, operation, duration, {"p50": F.floor(n / 2), "p95": F.least(F.floor(n * F.lit(0.95)), n - 1)})
+    facts = spans.groupBy(operation).agg(
+        F.count("*").alias("n"), F.round(F.avg(duration), 4).alias("mean"), F.min(duration).alias("least"), F.max(duration).alias("most"), F.count_if(failed).alias("errors")
+    )
+    return facts.join(ranks, operation)
 
 
 def worst(severity: Column) -> Column:

@@ -119,7 +119,7 @@ _DELTA = "SELECT user_id, event_id, ts, CASE WHEN event_type IN ('signup', 'clic
 @R.add(f"""WITH e AS ({_DELTA}), s AS (SELECT user_id, delta, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
 SELECT user_id, (sum(delta) - least(0, min(run)))::BIGINT AS ref_count FROM s GROUP BY 1""")
 def refcount_floor(t):
-    return lifecycle.floored_counts(_deltas(t), "user_id", "delta", ["ts", "event_id"])
+    return lifecycle.floored_counts(_deltas(t), "user_id", "delta", ["ts", "event_id"], F.to_date("ts"))
 
 
 @R.add("SELECT user_id, count(*) AS access_count, min(ts) AS first_accessed_at, max(ts) AS last_accessed_at FROM events GROUP BY 1")

@@ -9,17 +9,28 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from strandlore.functions import text as X
-from strandlore.operators import bpe, chunks, codecs, history, lifecycle, replication, vectors as V
+from strandlore.operators import bpe, chunks, codecs, history, lifecycle, observability, replication, vectors as V
 
 
 def test_floored_counts_equal_the_fold(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.choice([-1, -1, 1])) for k in range(40) for i in range(rng.randint(1, 60))]
     got = {r.k: r.ref_count for r in lifecycle.floored_counts(spark.createDataFrame(rows, "k int, seq int, d int"), "k", "d", ["seq"]).collect()}
+    cut = {r.k: r.ref_count for r in lifecycle.floored_counts(spark.createDataFrame(rows, "k int, seq int, d int"), "k", "d", ["seq"], F.floor(F.col("seq") / 7)).collect()}
     want = {}
     for k, _, d in rows:
         want[k] = max(0, want.get(k, 0) + d)
-    assert got == want
+    assert got == want == cut
+
+
+def test_order_statistics(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([1.5, 1.5, 1.5, -3.0, 0.0, 2.25, rng.random() * 100])) for _ in range(501)] + [("b", 7.0)] * 40 + [("c", 1.0)]
+    n = F.col("n")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in observability.order_statistics(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"lo": F.lit(0), "mid": F.floor(n / 2), "hi": n - 1}).collect()}
+    for k in "abc":
+        v = sorted(x for j, x in rows if j == k)
+        assert got[k] == (v[0], v[len(v) // 2], v[-1])
 
 
 def test_gc_keeps_pending_pins_and_young(spark):
