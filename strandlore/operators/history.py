@@ -33,18 +33,24 @@ def latest_by_insertion(rows: DataFrame, key: str, seq: str, *columns: str) -> D
     return rows.groupBy(key).agg(F.max(F.struct(seq, *columns)).alias("r")).select(key, f"r.{seq}", *[f"r.{c}" for c in columns])
 
 
-def keep_last(rows: DataFrame, key: str, order: list[Column], keep: int) -> DataFrame:
-    """``stays`` per row: among the last ``keep`` of its key."""
-    return rows.withColumn("stays", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= keep)
+def last_of_each(rows: DataFrame, key: str, order: list[Column], keep: int) -> DataFrame:
+    """The last ``keep`` rows of each key. A limit per group is applied before the shuffle, so a hot key sends few rows."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+
+
+def keep_last(rows: DataFrame, key: str, row_id: str, order: list[Column], keep: int) -> DataFrame:
+    """``stays`` per row: among the last ``keep`` of its key. Rows meet the kept ones on their own id, which no key skews."""
+    kept = last_of_each(rows, key, order, keep).select(row_id, F.lit(True).alias("stays"))
+    return rows.join(kept, row_id, "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
 
 
 def retention(artifacts: DataFrame, now: Column, keep: int, max_age_seconds: int | None, protected: Column) -> DataFrame:
     """Artifacts to delete: beyond the last ``keep`` of their origin, not protected, and old enough. (artifact_id, origin_id, created_at)"""
-    w = Window.partitionBy("origin_id").orderBy(F.desc("created_at"), F.desc("artifact_id"))
-    rows = artifacts.withColumn("_n", F.row_number().over(w)).where((F.col("_n") > keep) & ~protected)
+    kept = last_of_each(artifacts, "origin_id", [F.desc("created_at"), F.desc("artifact_id")], keep)
+    rows = artifacts.where(~protected)
     if max_age_seconds is not None:
         rows = rows.where(F.unix_timestamp(now) - F.unix_timestamp("created_at") > max_age_seconds)
-    return rows.drop("_n")
+    return rows.join(kept.select("artifact_id"), "artifact_id", "left_anti")
 
 
 def metric_diff(old: DataFrame, new: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -71,8 +77,17 @@ def find_artifacts(artifacts: DataFrame, kind: str | None = None, tags: dict[str
 
 
 def first_seen(rows: DataFrame, content: str, seq: str) -> DataFrame:
-    """``deduped``: the same content was stored before."""
-    return rows.withColumn("deduped", F.row_number().over(Window.partitionBy(content).orderBy(seq)) > 1)
+    """``deduped``: the same content was stored before. ``seq`` is unique; rows meet the firsts on it, so much-copied content is no hot key."""
+    first = rows.groupBy(content).agg(F.min(seq).alias(seq)).select(seq, F.lit(False).alias("deduped"))
+    return rows.join(first, seq, "left").withColumn("deduped", F.coalesce("deduped", F.lit(True)))
+
+
+def import_summary(rows: DataFrame, owner: str, content: list[str], seq: str, size: str) -> DataFrame:
+    """Stored and deduped puts and bytes per owner: the first of equal contents is stored. Two levels of partial sums, no window."""
+    each = rows.groupBy(owner, *content).agg(F.count("*").alias("_n"), F.sum(size).alias("_raw"), F.min(F.struct(seq, size))[size].alias("_first"))
+    return each.groupBy(owner).agg(
+        F.count("*").alias("stored"), (F.sum("_n") - F.count("*")).alias("deduped"), F.sum("_raw").cast("long").alias("raw_bytes"), F.sum("_first").cast("long").alias("stored_bytes")
+    )
 
 
 def reuse(stages: DataFrame, done: DataFrame) -> DataFrame:

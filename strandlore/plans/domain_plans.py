@@ -346,7 +346,7 @@ def checkpoint_latest(t):
 
 @R.add("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3 AS stays FROM orders")
 def keep_last_n(t):
-    return history.keep_last(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).drop("o_orderdate")
+    return history.keep_last(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).drop("o_orderdate")
 
 
 @R.add(f"""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
@@ -390,11 +390,8 @@ def reuse_resolve(t):
 @R.add("""WITH b AS (SELECT l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS n FROM lineitem)
 SELECT l_suppkey, count(*) FILTER (n = 1) AS stored, count(*) FILTER (n > 1) AS deduped, sum(l_quantity)::BIGINT AS raw_bytes, coalesce(sum(l_quantity) FILTER (n = 1), 0)::BIGINT AS stored_bytes FROM b GROUP BY 1""")
 def import_summary(t):
-    seen = history.first_seen(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("seq"), F.struct("l_partkey", "l_suppkey").alias("content")), "content", "seq")
-    fresh = ~F.col("deduped")
-    return seen.groupBy("l_suppkey").agg(
-        F.count_if(fresh).alias("stored"), F.count_if("deduped").alias("deduped"), F.sum("l_quantity").cast("long").alias("raw_bytes"), F.sum(F.when(fresh, F.col("l_quantity")).otherwise(0)).cast("long").alias("stored_bytes")
-    )
+    rows = t.lineitem.withColumn("seq", F.struct("l_orderkey", "l_linenumber", "l_quantity"))
+    return history.import_summary(rows, "l_suppkey", ["l_partkey"], "seq", "l_quantity")
 
 
 @R.add("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
