@@ -51,3 +51,26 @@ def resolve(probes: DataFrame, index: DataFrame, key: str = "doc_id", text: str
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "origin_id")
     return found.withColumn("rank", F.row_number().over(w))
+
+
+def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, h1, h2): distinct n-word grams of the lower-case text as two independent 64-bit hashes. No shuffle."""
+    words = F.split(F.lower(F.trim(F.col(text))), r"\s+")
+    rows = df.select(key, words.alias("w")).where(F.size("w") >= n)
+
+    def hashed(i):
+        gram = F.transform(F.array(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")), lambda g: F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(F.lit(1), g).alias("h2")))
+        return gram[0]
+
+    return rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), hashed))).alias("g")).select(key, "g.h1", "g.h2")
+
+
+def shared_grams(docs: DataFrame, passages: DataFrame, doc_key: str, passage_key: str, text: str, n: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(passage, doc, shared_grams) of passages that documents share.
+
+    Passages are few: up to a counted number of grams they are broadcast, so documents stay in their
+    scan; beyond it both sides meet by hash. Grams travel as 16 bytes, never as text.
+    """
+    asked = word_grams(passages, passage_key, text, n)
+    side = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    return word_grams(docs, doc_key, text, n).join(side, ["h1", "h2"]).groupBy(passage_key, doc_key).agg(F.count("*").alias("shared_grams"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from strandlore.functions import hashing as H
-from strandlore.operators import chunks, history, lifecycle, observability, replication
+from strandlore.operators import chunks, history, lifecycle, observability, provenance, replication
 from strandlore.plans.base import Registry
 
 R = Registry()
@@ -95,14 +95,7 @@ def inline_threshold(t):
   dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 12), ' ') AS gram FROM d, unnest(range(1, len(w) - 11)) AS u(i))
 SELECT item_id, doc_id, count(*) AS shared_grams FROM g JOIN dg USING (gram) GROUP BY 1, 2""")
 def benchmark_overlap(t):
-    """13-word grams of benchmark passages that documents share; grams travel as 64-bit hashes and are compared as text after the join."""
-
-    def grams(df, key):
-        words = F.split(F.lower(F.trim(F.col("text"))), r"\s+")
-        rows = df.select(key, words.alias("w")).where(F.size("w") >= 13)
-        return rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 12), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(13)), " ")))).alias("gram"))
-
-    return grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared_grams"))
+    return provenance.shared_grams(t.documents, t.benchmark, "doc_id", "item_id", "text")
 
 
 # ---- reference counts, tiers, garbage collection
