@@ -33,7 +33,7 @@ def ring(shards: int, slots: int = SLOTS, vnodes: int = VNODES) -> list[list[int
     order: list[list[int]] = [[]] * slots
     ahead: list[int] = []
     for step in range(2 * slots - 1, -1, -1):  # twice round, so that the first pass knows what lies beyond the seam
-        here = at[step % slots]
+        here = list(dict.fromkeys(at[step % slots]))
         if here:
             ahead = here + [s for s in ahead if s not in here]
         order[step % slots] = ahead

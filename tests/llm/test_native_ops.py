@@ -166,6 +166,7 @@ def test_sharding_contract(spark, sf):
 def test_ring_overflow_goes_clockwise():
     order = sharding.ring(5)
     assert all(sorted(o) == list(range(5)) for o in order)
+    assert all(sorted(o) == list(range(24)) for o in sharding.ring(24))
     counts = {7: 1000, 8: 3}
     plan = sharding.quotas(counts, 5)
     assert [p[3] for p in plan if p[0] == 7] == order[7]
