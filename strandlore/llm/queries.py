@@ -58,6 +58,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mixing, op4_warc, op5_simhash, op6_topk, op7_pii, op8_media, op9_sharding, op10_packing)}
 
 ORACLES = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND keeper IS NOT NULL AND (page_id IS NULL OR page_id < keeper) AS again FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to FROM r""",
     "op6_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
