@@ -34,7 +34,7 @@ def write_records(rows: DataFrame, path: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Readers see the old table or the new one: the new one is staged, then moved into place."""
+    """The new table is written in full beside the old one before that goes; a failed write leaves the old one."""
     spark = rows.sparkSession
     jvm = spark._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), jvm.org.apache.hadoop.fs.Path(path)
