@@ -31,6 +31,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Terms are words of at least TERM_LETTERS letters, the NEAREST ones within CONTEXT characters of an entity on either side.
 LETTERS, TERM_LETTERS, CONTEXT, NEAREST = r"\p{L}+", 3, 80, 5
+#: Entities on either side that a word is held against. A match has five characters or more and matches of one kind
+#: never overlap, so no more than this many start within the context.
+NEIGHBOURS = 72
 MIN_DOCS, GENERALISE, REMOVE = 3, 0.9, 0.98
 
 KINDS = ("email", "ip", "card", "phone")
@@ -102,22 +105,22 @@ def near_terms(text: Column, spans: Column) -> Column:
     """(entity, term, start, end) of the words nearest each entity that lie in no base span."""
     name = lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit(":"), F.lower(s["value"]))
 
-    def around(s: Column) -> Column:
+    def around(s: Column, i: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, begin + 1, s["start"] - begin)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
         words = lambda part: F.filter(found(part, LETTERS, 0), lambda w: F.length(w["value"]) >= TERM_LETTERS)
         # a word that the window's far edge may have cut is left out
-        before = F.filter(words(left), lambda w: (w["start"] > 0) | (begin == 0))
-        before = F.slice(before, F.greatest(F.size(before) - NEAREST, F.lit(0)) + 1, F.lit(NEAREST))
-        after = F.slice(F.filter(words(right), lambda w: w["end"] < CONTEXT), F.lit(1), F.lit(NEAREST))
+        before = let(F.substring(text, begin + 1, s["start"] - begin), lambda left: F.filter(words(left), lambda w: (w["start"] > 0) | (begin == 0)))
+        before = let(before, lambda ws: F.slice(ws, F.greatest(F.size(ws) - NEAREST, F.lit(0)) + 1, F.lit(NEAREST)))
+        after = let(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), lambda right: F.slice(F.filter(words(right), lambda w: w["end"] < CONTEXT), F.lit(1), F.lit(NEAREST)))
         shift = lambda ws, by: F.transform(
             ws, lambda w: F.struct(name(s).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end"))
         )
-        return F.concat(shift(before, begin), shift(after, s["end"]))
+        close = F.slice(spans, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
+        close = F.filter(close, lambda o: (o["start"] < s["end"] + CONTEXT) & (begin < o["end"]))
+        free = lambda near: lambda w: ~F.exists(near, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))
+        return let(close, lambda near: F.filter(F.concat(shift(before, begin), shift(after, s["end"])), free(near)))
 
-    free = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.when(F.size(spans) > 0, F.array_distinct(F.filter(F.flatten(F.transform(spans, around)), free)))
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around)))
 
 
 def scan(docs: DataFrame, *keep: Column | str) -> DataFrame:
@@ -135,9 +138,12 @@ def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, action) of the pairs that disclose too much. Counts are over all documents."""
     total = docs.count()
     met = scanned.where(F.size("_near") > 0)
+    # distinct as text: distinct structs are found pair by pair
+    once = F.array_distinct(F.transform("_near", lambda c: F.concat_ws("\t", c["entity"], c["term"])))
     pairs = (
-        met.select(F.explode(F.array_distinct(F.transform("_near", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-        .groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term"))
+        met.select(F.explode(once).alias("_pair"))
+        .select(F.split("_pair", "\t").alias("p"))
+        .groupBy(F.col("p")[0].alias("entity"), F.col("p")[1].alias("term"))
         .agg(F.count("*").alias("_both"))
         .where(F.col("_both") >= MIN_DOCS)
     )
