@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/strandlore-{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable for Python workers that don't have it on their path. Once per application."""
+    root = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    application = spark.sparkContext.applicationId
+    if application in _shipped or root in [Path(p).resolve() for p in known if p]:
+        return
+    _shipped.add(application)
+    base = Path(tempfile.mkdtemp(prefix="strandlore-ship-")) / "strandlore"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root, "strandlore"))
