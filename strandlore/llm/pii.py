@@ -1,11 +1,15 @@
 """Personal data: base spans by pattern, and information-theoretic sanitisation of what reveals them.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Every distinct value
-is a protected entity. Corpus co-occurrence then tells how strongly the terms written near an
-entity reveal it: with p estimated by counts of documents, a term t gives away
+is a protected entity. Corpus co-occurrence then tells how strongly the terms written in an entity's
+documents reveal it: with p estimated by counts of documents, a term t gives away
 PMI(t; e) = log2 p(t, e) / (p(t) p(e)) of the IC(e) = -log2 p(e) bits that entity e holds. A term
-that co-occurs with an entity in MIN_DOCS documents or more and discloses GENERALISE of its bits is
-generalised, from REMOVE on it is removed, at all places near that entity.
+that discloses GENERALISE of its bits is generalised, from REMOVE on it is removed, wherever it
+stands in a document of that entity.
+
+A pair that meets in fewer than MIN_DOCS documents is held to disclose only if chance is no explanation: a
+word and an entity of one document each always have a PMI of the entity's whole information. It counts
+where the chance of so many meetings, times the pairs that could meet as often, is CHANCE or less.
 
 DataFrame operations only. Patterns are the given ones with possessive quantifiers and, where the
 first character is of an unbounded class, a start at the class's edge or at the last match's end:
@@ -18,6 +22,7 @@ terms; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,12 +34,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Terms are words of at least TERM_LETTERS letters, the NEAREST ones within CONTEXT characters of an entity on either side.
-LETTERS, TERM_LETTERS, CONTEXT, NEAREST = r"\p{L}+", 3, 80, 5
-#: Entities on either side that a word is held against. A match has five characters or more and matches of one kind
-#: never overlap, so no more than this many start within the context.
-NEIGHBOURS = 72
+#: Terms are words of at least TERM_LETTERS letters.
+LETTERS, TERM_LETTERS = r"\p{L}+", 3
 MIN_DOCS, GENERALISE, REMOVE = 3, 0.9, 0.98
+#: Pairs below MIN_DOCS that may pass by chance in the whole corpus.
+CHANCE = 0.05
 
 KINDS = ("email", "ip", "card", "phone")
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -45,8 +49,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def found(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost non-overlapping matches as spans: the gaps between them give the places."""
+def found(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """All leftmost non-overlapping matches (of a ``wanted`` value) as spans: the gaps between them give the places."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def placed(pair: Column) -> Column:
@@ -57,7 +61,8 @@ def found(text: Column, pattern: str, kind: int) -> Column:
             begin = acc["at"] + pair["gaps"][i]
             end = begin + F.length(value)
             span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            out = F.concat(acc["out"], F.array(span))
+            return F.struct(end.alias("at"), (out if wanted is None else F.when(wanted(value), out).otherwise(acc["out"])).alias("out"))
 
         n = F.size(pair["hits"])
         steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -101,78 +106,119 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of the words nearest each entity that lie in no base span."""
-    name = lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit(":"), F.lower(s["value"]))
+def entities(spans: Column) -> Column:
+    """Names of the distinct entities of some base spans."""
+    kind = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
+    return F.array_distinct(F.transform(spans, lambda s: F.concat(kind(s), F.lit(":"), F.lower(s["value"]))))
 
-    def around(s: Column, i: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        words = lambda part: F.filter(found(part, LETTERS, 0), lambda w: F.length(w["value"]) >= TERM_LETTERS)
-        # a word that the window's far edge may have cut is left out
-        before = let(F.substring(text, begin + 1, s["start"] - begin), lambda left: F.filter(words(left), lambda w: (w["start"] > 0) | (begin == 0)))
-        before = let(before, lambda ws: F.slice(ws, F.greatest(F.size(ws) - NEAREST, F.lit(0)) + 1, F.lit(NEAREST)))
-        after = let(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), lambda right: F.slice(F.filter(words(right), lambda w: w["end"] < CONTEXT), F.lit(1), F.lit(NEAREST)))
-        shift = lambda ws, by: F.transform(
-            ws, lambda w: F.struct(name(s).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end"))
-        )
-        close = F.slice(spans, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
-        close = F.filter(close, lambda o: (o["start"] < s["end"] + CONTEXT) & (begin < o["end"]))
-        free = lambda near: lambda w: ~F.exists(near, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))
-        return let(close, lambda near: F.filter(F.concat(shift(before, begin), shift(after, s["end"])), free(near)))
 
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around)))
+def keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep``, and each row's id, text and key."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))
+    return docs.select(*keep, F.col("doc_id").alias("_doc"), text.alias("_text"), key.alias("_key"))
 
 
 def scan(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """``keep``, the row's key, its base spans and its candidate terms; no shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))
-    return (
-        docs.select(*keep, F.col("doc_id").alias("_doc"), text.alias("_text"), key.alias("_key"))
-        .withColumn("_base", base_spans(F.col("_text")))
-        .withColumn("_near", near_terms(F.col("_text"), F.col("_base")))
-    )
+    """``keep``, the row's key, a digest of its text, and its base spans; no shuffle."""
+    return keyed(docs, *keep).withColumn("_copy", F.md5("_text")).withColumn("_base", base_spans(F.col("_text")))
+
+
+def terms_of(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))), lambda w: F.length(w) >= TERM_LETTERS)
+
+
+def _none(docs: DataFrame, schema: str) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], schema)
+
+
+def floor_of(total: int, tests: Callable[[int], int]) -> int:
+    """Documents that a pair must meet in at least: MIN_DOCS, or fewer if chance can be ruled out below it.
+
+    Of a term and an entity that stand in k documents each, all k are the same with a chance of
+    1 / comb(total, k), the least that any pair of k meetings has; ``tests(k)`` pairs could.
+    """
+    return next((k for k in range(1, MIN_DOCS) if total >= k and tests(k) <= CHANCE * math.comb(total, k)), MIN_DOCS)
+
 
+def disclosing(scanned: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_key, _classes) of documents, and (class, terms) with the terms that disclose too much. Counts are over all documents.
 
-def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, action) of the pairs that disclose too much. Counts are over all documents."""
+    Entities of the very same documents, such as those of one text full of them, have the same pairs
+    and are one class. Equal texts are counted before their words are read.
+    """
     total = docs.count()
-    met = scanned.where(F.size("_near") > 0)
-    # distinct as text: distinct structs are found pair by pair
-    once = F.array_distinct(F.transform("_near", lambda c: F.concat_ws("\t", c["entity"], c["term"])))
-    pairs = (
-        met.select(F.explode(once).alias("_pair"))
-        .select(F.split("_pair", "\t").alias("p"))
-        .groupBy(F.col("p")[0].alias("entity"), F.col("p")[1].alias("term"))
-        .agg(F.count("*").alias("_both"))
-        .where(F.col("_both") >= MIN_DOCS)
-    )
-    entities = (
-        scanned.where(F.size("_base") > 0)
-        .select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit(":"), F.lower(s["value"]))))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("_with_entity"))
-    )
-    pairs = cut(pairs.join(entities, "entity"))
+    nothing = _none(docs, "_key string, _classes array<string>"), _none(docs, "class string, terms array<struct<term:string,action:string>>")
+    met = scanned.where(F.size("_base") > 0)
+    held = cut(met.select("_key", F.explode(entities(F.col("_base"))).alias("entity")).groupBy("_key", "entity").agg(F.count("*").alias("m")))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 31)))
+    same = held.groupBy("entity").agg(F.sum("m").alias("n"), part(1).alias("a"), part(2).alias("b"))
+    same = cut(same.select("entity", "n", F.concat_ws(":", "n", "a", "b").alias("class")))
+    known = same.agg(*[F.count(F.when(F.col("n") >= k, 1)).alias(f"n{k}") for k in range(1, MIN_DOCS + 1)]).first()
+    least = next((k for k in range(1, MIN_DOCS) if known[f"n{k}"] and known[f"n{k}"] <= CHANCE * math.comb(total, k)), MIN_DOCS)
+    if not known[f"n{least}"]:
+        return nothing
     # words are counted once a document and summed before they are shuffled
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term"))
-    counts = words.where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count("*").alias("_with_term"))
+    words = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
+    counts = cut(words.groupBy("term").agg(F.count("*").alias("_with_term")).where(F.col("_with_term") >= least))
+    spread = counts.agg(*[F.count(F.when(F.col("_with_term") >= k, 1)).alias(f"n{k}") for k in range(1, MIN_DOCS)]).first()
+    tests = {k: known[f"n{k}"] * spread[f"n{k}"] for k in range(least, MIN_DOCS)}
+    floor = floor_of(total, lambda k: tests.get(k, math.inf))
+    kept = same.where(F.col("n") >= floor)
+    n_kept = kept.count()
+    if not n_kept:
+        return nothing
+    classed = lookup_join(held, kept, ["entity"], F.col("_key"), n_kept).where("class is not null")
+    by_key = cut(classed.groupBy("_key").agg(F.collect_set("class").alias("_classes")))
+    n_keys = by_key.count()
+    copies = met.select("_key", "_copy", F.col("_doc")).join(by_key.select("_key"), "_key", "left_semi")
+    firsts = cut(copies.groupBy("_copy").agg(F.min("_key").alias("_key"), F.count("*").alias("m")).join(by_key, "_key").select("_key", "m", "_classes"))
+    read = lookup_join(keyed(docs), firsts, ["_key"], F.col("_doc"), n_keys).where("m is not null").dropDuplicates(["_key"])
+    outside = terms_of(replaced(F.col("_text"), base_spans(F.col("_text")), lambda s: F.lit(" ")))
+    read = read.select("m", "_classes", outside.alias("_words"))
+    pairs = read.select("m", "_words", F.explode("_classes").alias("class")).select("m", "class", F.explode("_words").alias("term"))
+    pairs = pairs.groupBy("class", "term").agg(F.sum("m").alias("_both")).where(F.col("_both") >= floor)
+    pairs = cut(pairs.withColumn("_with_entity", F.split("class", ":")[0].cast("long")))
     n = F.lit(float(total))
     pmi = F.log2(F.col("_both") * n / (F.col("_with_term") * F.col("_with_entity")))
     bits = F.log2(n / F.col("_with_entity"))
     share = F.when(bits > 0, pmi / bits)
+    ways = lambda c, k: F.col(c).cast("double") if k == 1 else F.col(c) * (F.col(c) - 1.0) / 2
+    sure = F.col("_both") >= MIN_DOCS
+    for k in range(floor, MIN_DOCS):
+        sure |= (F.col("_both") == k) & (ways("_with_term", k) * ways("_with_entity", k) * float(tests[k]) <= CHANCE * math.comb(total, k))
     action = F.when(share >= REMOVE, "term-removed").when(share >= GENERALISE, "term-generalised")
-    return cut(counts.join(pairs, "term").select("entity", "term", action.alias("action")).where("action is not null"))
+    bad = counts.join(pairs, "term").where(sure).select("class", "term", action.alias("action")).where("action is not null")
+    return by_key, cut(bad.groupBy("class").agg(F.collect_list(F.struct("term", "action")).alias("terms")))
 
 
 def term_spans(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(_key, _terms): the spans of disclosing terms, for the documents that have any."""
-    bad = disclosing(scanned, docs)
-    rows = scanned.where(F.size("_near") > 0).select("_key", F.col("_doc"), F.explode("_near").alias("c")).select("_key", "_doc", "c.*")
-    hit = lookup_join(rows, bad, ["entity", "term"], F.col("_key"), bad.count()).where("action is not null")
-    # a term near two entities may have two actions; removal, the stronger one, sorts last
-    spans = hit.groupBy("_key", "start", "end").agg(F.max("action").alias("action"))
-    return cut(spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "action", "end"))).alias("_terms")))
+    by_key, bad = disclosing(scanned, docs)
+    hit = lookup_join(by_key.select("_key", F.explode("_classes").alias("class")), bad, ["class"], F.col("_key"), bad.count()).where("terms is not null")
+    hit = cut(hit.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_hit")))
+    rows = lookup_join(keyed(docs), hit, ["_key"], F.col("_doc"), hit.count()).where("_hit is not null").dropDuplicates(["_key"])
+    # a term of two entities may have two actions; removal is the stronger one
+    of = lambda action: F.transform(F.filter("_hit", lambda t: t["action"] == action), lambda t: t["term"])
+    rows = rows.select("_key", "_text", base_spans(F.col("_text")).alias("_base"), of("term-removed").alias("_removed"), of("term-generalised").alias("_general"))
+    removed = lambda v: F.array_contains("_removed", F.lower(v))
+    places = found(F.col("_text"), LETTERS, 0, lambda v: removed(v) | F.array_contains("_general", F.lower(v)))
+    free = F.filter(places, lambda w: ~F.exists("_base", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
+    action = lambda w: F.when(removed(w["value"]), "term-removed").otherwise("term-generalised")
+    spans = F.transform(free, lambda w: F.struct(w["start"].alias("start"), action(w).alias("action"), w["end"].alias("end")))
+    return cut(rows.select("_key", spans.alias("_terms")).where(F.size("_terms") > 0))
+
+
+def replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """``text`` with sorted ``spans`` replaced; overlapping ones count as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _text_of(spans: Column) -> Column:
@@ -212,20 +258,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all spans replaced, and ``n_chars`` set anew; overlapping spans count as one."""
     scanned = cut(scan(docs).drop("_text"))
     terms = term_spans(scanned, docs)
-    rows = scan(docs, boxed(docs)).drop("_near")
+    rows = scan(docs, boxed(docs)).drop("_copy")
     joined = lookup_join(rows, terms, ["_key"], F.col("_doc"), terms.count())
     spans = F.array_sort(F.concat(_named(F.col("_base")), _terms(F.col("_terms"))))
-    stand_in = F.lit(None).cast("string")
-    text = F.col("_text")
-
-    def step(acc: Column, s: Column) -> Column:
-        placeholder = F.coalesce(*[F.when(s["name"] == k, v) for k, v in PLACEHOLDERS.items()], stand_in)
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), placeholder)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    placeholder = lambda s: F.coalesce(*[F.when(s["name"] == k, v) for k, v in PLACEHOLDERS.items()], F.lit(None).cast("string"))
+    clean = replaced(F.col("_text"), spans, placeholder)
     dirty = F.size(F.col("_base")) > 0
     out = joined.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("_row.text")))
     instead = {"text": F.col("_clean")}

@@ -147,6 +147,26 @@ def test_pii_terms_that_disclose(spark):
     assert clean[101][0] == rows[6][1]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """``zorblatt`` stands in the heading, hundreds of words before the address."""
+    filler = "please wait at home today " * 100
+    rows = [(i, f"Zorblatt\n{filler}boss@corp.com", "en", "s") for i in range(4)] + [(100 + i, filler, "en", "s") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, rows)).collect()}
+    assert all(got[i].startswith("term-removed:0:8,email:") and got[i].count("term") == 1 for i in range(4)) and not any(got[100 + i] for i in range(60))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert clean[0] == f"\n{filler}[EMAIL]" and clean[100] == filler
+
+
+def test_pii_pairs_below_the_floor_need_more_than_chance(spark):
+    """Two meetings tell nothing among few documents and many words, and much among many documents and few words."""
+    few = [(i, f"zorblatt a@b.c {' '.join('w' + chr(97 + j) + chr(97 + k) for j in range(9) for k in range(9))}", "en", "s") for i in range(2)]
+    many = [(i, "zorblatt a@b.c", "en", "s") for i in range(2)]
+    rest = lambda n: [(100 + i, "please wait", "en", "s") for i in range(n)]
+    assert all("term" not in r.spans for r in pii.report(docs(spark, few + rest(30))).collect())
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, many + rest(200))).collect()}
+    assert got[0] == "term-removed:0:8,email:9:14" and got[100] == ""
+
+
 def test_sharding_contract(spark, sf):
     import zlib
 
