@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandlore.session import cut
+
 
 def canonical_kind(tag: Column, *parts: Column) -> Column:
     return F.concat_ws(":", tag, *parts)
@@ -17,15 +19,24 @@ def lineage_digest(edges: DataFrame, origin: str, edge_id: str, kind: Column, cu
     return rows.groupBy(origin).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"), F.count("*").alias("n_edges"))
 
 
-def chain(spark, nodes: str, depth_limit: int) -> DataFrame:
-    """Parent chains of ``nodes`` (node_id, parent_id) by a recursive query: (node_id, ancestor_id, depth)."""
-    return spark.sql(f"""
-        WITH RECURSIVE up(node_id, ancestor_id, depth) AS (
-          SELECT node_id, node_id, 0 FROM {nodes}
-          UNION ALL
-          SELECT u.node_id, n.parent_id, u.depth + 1 FROM up u JOIN {nodes} n ON u.ancestor_id = n.node_id
-          WHERE n.parent_id IS NOT NULL AND u.depth < {depth_limit})
-        SELECT node_id, ancestor_id, depth FROM up""")
+def chain(nodes: DataFrame) -> DataFrame:
+    """Whole parent chains of ``nodes`` (node_id, parent_id), up to the roots: (node_id, ancestor_id, depth).
+
+    Pointer doubling: rounds grow with the logarithm of the longest chain. Fails if parents make a cycle.
+    """
+    n = nodes.count()
+    up = cut(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+    jump = cut(nodes.where(F.col("parent_id").isNotNull()).select(F.col("node_id").alias("_from"), F.col("parent_id").alias("_to")))
+    far = 1
+    while jump.limit(1).count():
+        if far > n:
+            raise ValueError("the parents make a cycle")
+        higher = up.join(jump, up["ancestor_id"] == jump["_from"]).select("node_id", F.col("_to").alias("ancestor_id"), (F.col("depth") + far).alias("depth"))
+        up = cut(up.union(higher))
+        on = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        jump = cut(jump.join(on, "_to").select("_from", F.col("_next").alias("_to")))
+        far *= 2
+    return up
 
 
 def latest_by_insertion(rows: DataFrame, key: str, seq: str, *columns: str) -> DataFrame:

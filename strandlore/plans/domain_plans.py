@@ -327,8 +327,7 @@ def share_cutoff_digest(t):
 SELECT node_id, ancestor_id, depth FROM up""")
 def checkpoint_lineage(t):
     node = F.col("conv_id") * 1000 + F.col("turn")
-    t.conversations.select(node.alias("node_id"), F.when(F.col("turn") > 0, node - 1).alias("parent_id")).createOrReplaceTempView("strandlore_chain")
-    return history.chain(t.spark, "strandlore_chain", 20)
+    return history.chain(t.conversations.select(node.alias("node_id"), F.when(F.col("turn") > 0, node - 1).alias("parent_id")))
 
 
 @R.add("SELECT o_custkey, max((o_orderdate, o_orderkey))[2] AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1")

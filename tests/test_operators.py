@@ -173,3 +173,11 @@ def test_blake3_equals_the_jvm(spark):
         assert digest(data) == bytes(java.hash(data)).hex()
     got = spark.createDataFrame([("abc",), (None,)], "t string").select(blake3_id("t").alias("b")).collect()
     assert got[0].b.startswith("blake3:6437b3ac") and got[1].b is None
+
+
+def test_lineage_reaches_the_root(spark):
+    nodes = [(i, i - 1 if i else None) for i in range(150)] + [(900, 901)]
+    got = {(r.node_id, r.ancestor_id, r.depth) for r in history.chain(spark.createDataFrame(nodes, "node_id long, parent_id long")).collect()}
+    assert got == {(i, i - d, d) for i in range(150) for d in range(i + 1)} | {(900, 900, 0), (900, 901, 1)}
+    with pytest.raises(ValueError, match="cycle"):
+        history.chain(spark.createDataFrame([(1, 2), (2, 1)], "node_id long, parent_id long"))
