@@ -41,7 +41,8 @@ def fold(doc_id: str = "doc_id") -> Column:
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary per language from (text, lang). The driver gets SAMPLE excerpts of each language at most twice."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    distinct = rows.select("lang", F.xxhash64("text").alias("_h")).distinct()
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
     if not counts:
         return {}
     parts = [(lang, -(2**63) + min((2**64 - 1) * 2 * SAMPLE // n, 2**64 - 1)) for lang, n in counts.items()]

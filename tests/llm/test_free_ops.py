@@ -44,6 +44,13 @@ def test_language_undetermined(spark):
     assert all(r.lang_pred == "und" for r in langid.identify(docs(spark, [(1, "abc def", None, "s")])).collect())
 
 
+def test_language_of_many_copies_is_learned(spark):
+    few = [f"das ist ein kurzer text nummer {i} und der hund" for i in range(5)]
+    rows = [(few[i % 5], "de") for i in range(6400)] + [(f"the quick brown fox {i}", "en") for i in range(1000)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model["de"].decode().split("\n")) == set(few) and len(model["en"].decode().split("\n")) == langid.SAMPLE
+
+
 def test_warc_round_trip(spark):
     long, other = "é<p>" * 60_000, "y" * 1000
     rows = [(1, "u", long), (2, "u", long), (9, None, long), (3, "u", "short"), (4, "u", "short"), (5, "a\r\nb", None), (6, "u", ""), (7, "u", other), (8, "u", other), (8, "u", other), (None, "u", other)]
