@@ -12,7 +12,12 @@ Training is plain arithmetic on the few hundred template paragraphs and reads no
 one map-only pass of DataFrame operations: a text without any cue is done after CUES substring
 searches, all other paragraphs are scored with array functions; nothing is shuffled.
 
-Defined cases: a null or empty text has no paragraph; a paragraph is a line; equal rows get equal
+A paragraph is a line that is confirmed by itself. Notices are wrapped as well, so each other line is
+also joined with the lines after it, up to an empty or confirmed one, until these hold as many words as
+the longest template. Of joined lines that overlap and confirm one family, the one of most containment
+counts, then the one that starts last; its place is that of its first line.
+
+Defined cases: a null or empty text has no paragraph; equal rows get equal
 results; where two paragraphs tie, the first counts; an empty table gives an empty table.
 """
 
@@ -111,6 +116,8 @@ NEGATIVES = [
 #: A paragraph is looked at if it holds one of these (lower case).
 CUES = ["licen", "copyright", "permi", "redistribut", "rights reserved", "public domain", "free software"]
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Words of the longest template.
+LONGEST = max(len(re.findall(WORDS, p.lower())) for ps in TEMPLATES.values() for p in ps)
 
 
 def grams(paragraph: str) -> list[str]:
@@ -220,21 +227,60 @@ def paragraph_score(paragraph: Column) -> Column:
     return _let(known, scored)
 
 
+def cue(text: Column) -> Column:
+    return F.coalesce(*[F.when(text.contains(x), True) for x in CUES], F.lit(False))
+
+
+def confirmed(scored: Column) -> Column:
+    return F.filter(scored, lambda s: (s["r"]["family"] != UNKNOWN) & (s["r"]["containment"] >= CONFIRM))
+
+
+def joined(lines: Column, own: Column) -> Column:
+    """struct(p, i, e) of lines i to e, more than one, that hold a cue together; lines in ``own`` stay alone."""
+    counted = F.transform(lines, lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i"), F.when(F.array_contains(own, s["i"]), 0).otherwise(F.size(F.regexp_extract_all(s["p"], F.lit(WORDS), F.lit(0)))).alias("n")))
+
+    def windows(ls: Column) -> Column:
+        def window(s: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                go = ~acc["full"] & (x["n"] > 0)
+                return F.struct(
+                    F.when(go, F.concat(acc["p"], F.lit(" "), x["p"])).otherwise(acc["p"]).alias("p"), F.when(go, x["i"]).otherwise(acc["e"]).alias("e"),
+                    F.when(go, acc["n"] + x["n"]).otherwise(acc["n"]).alias("n"), (~go | (acc["n"] + x["n"] >= LONGEST)).alias("full"),
+                )
+
+            start = F.struct(s["p"].alias("p"), s["i"].alias("e"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+            # no line that is joined is empty, so LONGEST of them are enough
+            return F.aggregate(F.slice(ls, s["i"] + 2, F.lit(LONGEST)), start, step, lambda acc: F.struct(acc["p"].alias("p"), s["i"].alias("i"), acc["e"].alias("e")))
+
+        return F.filter(F.transform(F.filter(ls, lambda s: s["n"] > 0), window), lambda w: (w["e"] > w["i"]) & cue(w["p"]))
+
+    return _let(counted, windows)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: its licence (the confirmed family of highest score, ``unknown`` if only unconfirmed
-    or unclear paragraphs hold cues, else ``none``), score, containment, paragraph, and all families."""
+    or unclear paragraphs hold cues, else ``none``), score, containment, paragraph, and all families.
+    Candidates are the lines that hold a cue, and the joined lines that were confirmed."""
     low = docs.select("doc_id", F.lower(text).alias("_low"))
-    cue = lambda c: F.coalesce(*[F.when(c.contains(x), True) for x in CUES], F.lit(False))
+    any_cue = cue(F.translate("_low", "\n", " "))
     lines = F.transform(F.split("_low", "\n", -1), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    candidates = F.when(cue(F.col("_low")), F.filter(lines, lambda s: cue(s["p"]))).otherwise(F.array().cast("array<struct<p:string,i:int>>"))
-    scored = F.transform(candidates, lambda s: F.struct(s["i"].alias("i"), paragraph_score(s["p"]).alias("r")))
-    rows = low.select("doc_id", scored.alias("_s"))
-    sure = F.filter("_s", lambda s: (s["r"]["family"] != UNKNOWN) & (s["r"]["containment"] >= CONFIRM))
+    low = low.select("doc_id", F.when(any_cue, lines).otherwise(F.array().cast("array<struct<p:string,i:int>>")).alias("_lines"))
+    score = lambda c: F.transform(c, lambda s: F.struct(s["i"].alias("i"), paragraph_score(s["p"]).alias("r")))
+    rows = low.select("doc_id", "_lines", score(F.filter("_lines", lambda s: cue(s["p"]))).alias("_own"))
+    own = F.transform(confirmed(F.col("_own")), lambda s: s["i"])
+    rows = rows.select("doc_id", "_own", F.when(F.size("_lines") > 1, joined(F.col("_lines"), own)).otherwise(F.array().cast("array<struct<p:string,i:int,e:int>>")).alias("_joined"))
+    wide = F.transform("_joined", lambda s: F.struct(s["i"].alias("i"), s["e"].alias("e"), paragraph_score(s["p"]).alias("r")))
+    rows = rows.select("doc_id", "_own", (F.size("_own") + F.size("_joined")).alias("_looked"), confirmed(wide).alias("_wide"))
+    more = lambda x, w: (x["r"]["containment"] > w["r"]["containment"]) | ((x["r"]["containment"] == w["r"]["containment"]) & (x["i"] > w["i"]))
+    better = lambda w: F.exists("_wide", lambda x: (x["r"]["family"] == w["r"]["family"]) & (x["i"] <= w["e"]) & (w["i"] <= x["e"]) & more(x, w))
+    best = F.transform(F.filter("_wide", lambda w: ~better(w)), lambda w: F.struct(w["i"].alias("i"), w["r"].alias("r")))
+    rows = rows.select("doc_id", "_looked", F.concat("_own", best).alias("_s"))
+    sure = confirmed(F.col("_s"))
     ranked = F.array_sort(F.transform(sure, lambda s: F.struct((-s["r"]["score"]).alias("order"), s["i"].alias("i"), s["r"].alias("r"))))
-    rows = rows.select("doc_id", "_s", F.when(F.size(ranked) > 0, F.element_at(ranked, 1)).alias("_best"), sure.alias("_sure"))
+    rows = rows.select("doc_id", "_looked", "_s", F.when(F.size(ranked) > 0, F.element_at(ranked, 1)).alias("_best"), sure.alias("_sure"))
     return rows.select(
         "doc_id",
-        F.when(F.col("_best").isNotNull(), F.col("_best.r.family")).when(F.size("_s") > 0, UNKNOWN).otherwise("none").alias("license"),
+        F.when(F.col("_best").isNotNull(), F.col("_best.r.family")).when(F.col("_looked") > 0, UNKNOWN).otherwise("none").alias("license"),
         F.col("_best.r.score").alias("score"),
         F.col("_best.r.containment").alias("containment"),
         F.col("_best.i").alias("paragraph"),

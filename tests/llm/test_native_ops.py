@@ -45,6 +45,17 @@ def test_license_families(spark):
     assert all(r.license in ("none", "unknown") for r in neg)
 
 
+def test_license_notices_that_are_wrapped(spark):
+    import textwrap
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = license_scan.TEMPLATES["gpl"][1]
+    texts = ["\n".join(["Some prose stands here.", *textwrap.wrap(t, w), "", "More prose."]) for t in (bsd, gpl) for w in (40, 60, 72)]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].license for i in range(6)] == ["bsd"] * 3 + ["gpl"] * 3
+    assert all(got[i].families == got[i].license and got[i].n_confirmed == 1 for i in range(6))
+
+
 def test_license_model_is_calibrated():
     m = license_scan.model()
     assert m.held_out_accuracy > 0.95 and 0.5 <= m.threshold < 1
