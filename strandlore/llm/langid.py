@@ -26,8 +26,8 @@ from strandlore.llm.common import boxed, small_batches, unboxed
 
 SAMPLE, EXCERPT = 320, 512
 BLOCK, LEVEL = 2048, 6
-#: A text is rejected if the second best is larger than the best by less than this many bytes and
-#: by less than this part of the best.
+#: The score is even odds at no margin and nears one by this many bytes. A text is rejected, however
+#: long, if the second best is larger than the best by less than this part of the best.
 MARGIN_BYTES, MARGIN_PART = 4, 0.01
 FOLDS = 5
 
@@ -78,7 +78,7 @@ class Classifier:
             return self.langs[0], 1.0, 1.0, False
         best, second = sizes[order[0]], sizes[order[1]]
         score = 1 / (1 + math.exp(-min(second - best, 600) / MARGIN_BYTES))
-        narrow = second - best < MARGIN_BYTES and second - best < MARGIN_PART * best
+        narrow = second - best < MARGIN_PART * best
         return self.langs[order[0]], score, (second - best) / second, narrow
 
 

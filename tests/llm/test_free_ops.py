@@ -51,6 +51,16 @@ def test_language_of_many_copies_is_learned(spark):
     assert set(model["de"].decode().split("\n")) == set(few) and len(model["en"].decode().split("\n")) == langid.SAMPLE
 
 
+def test_long_noise_is_rejected():
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n))
+    german, english = "der hund und die katze gehen nach hause ", "the dog and the cat are going home "
+    classifier = langid.Classifier({"de": (german + words(400)).encode(), "en": (english + words(400)).encode()})
+    assert all(classifier.predict(words(n))[3] for n in (100, 1000, 5000) for _ in range(5))
+    got = [classifier.predict(german * 3), classifier.predict(english * 300)]
+    assert [(g[0], g[3]) for g in got] == [("de", False), ("en", False)]
+
+
 def test_warc_round_trip(spark):
     long, other = "é<p>" * 60_000, "y" * 1000
     rows = [(1, "u", long), (2, "u", long), (9, None, long), (3, "u", "short"), (4, "u", "short"), (5, "a\r\nb", None), (6, "u", ""), (7, "u", other), (8, "u", other), (8, "u", other), (None, "u", other)]
