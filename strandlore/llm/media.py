@@ -205,6 +205,8 @@ def decode(media: list[bytes]) -> list[tuple[int, np.ndarray]]:
     for column in range(width):
         window = ahead[pos >> 3] >> (8 - (pos & 7)) & 0xFFFF
         value += diff[window]
+        if not length[window].all():
+            raise ValueError("a block that isn't flat")
         pos += length[window]
         out[:, column] = value
     ends = np.cumsum([sum(p[0] for p in pictures) for _, pictures in parsed])

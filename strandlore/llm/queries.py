@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlore.llm import langid, license_scan, media, mixing, packing, pii, sharding, simhash, topk, warc
+from strandlore.session import shared_folder
 from strandlore.sources.tables import table
 
 
@@ -44,7 +45,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
+    path = shared_folder(spark, "media")
+    media.encode_media(table(spark, sf_dir, "documents")).write.parquet(path)
+    return media.media_features(spark.read.parquet(path))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

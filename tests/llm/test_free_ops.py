@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandlore.llm import langid, media, packing, simhash, topk, warc
+from strandlore.llm import queries
 from strandlore.llm.queries import tokenizer_path
 
 from test_native_ops import ODD, docs
@@ -189,6 +190,21 @@ def test_media_round_trip():
         media.decode([stored[2][:200] + b"\xff\xd9"])
 
 
+def test_media_query_reads_what_it_stored(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_folder", lambda s, name: str(tmp_path / name))
+    got = queries.op8_media(spark, sf)
+    stored = {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(str(tmp_path / "media")).collect()}
+    assert len(stored) == 200 and {r["doc_id"]: r["media_sha256"] for r in got.collect()} == stored
+
+
+def test_media_refuses_blocks_that_are_not_flat():
+    stored = media.encode([b"abc"])[0]
+    at = stored.index(b"\xff\xda")
+    scan = at + 2 + int.from_bytes(stored[at + 2 : at + 4], "big")
+    with pytest.raises(ValueError, match="flat"):
+        media.decode([stored[:scan] + b"\xfe" * (len(stored) - scan - 2) + b"\xff\xd9"] if b"\xff\xd0" not in stored else [stored[:scan] + b"\xfe" * (stored.index(b"\xff\xd0") - scan) + stored[stored.index(b"\xff\xd0") :]])
+
+
 def test_media_contract(spark):
     rows = [(1, "Hällo", "en", "s"), (2, "Hällo", "en", "s"), (3, None, "en", "s"), (4, "z" * 576, "en", "s")]
     got = {r.doc_id: r for r in media.media_features(media.encode_media(docs(spark, rows))).collect()}
