@@ -7,22 +7,23 @@ PMI(t; e) = log2 p(t, e) / (p(t) p(e)) of the IC(e) = -log2 p(e) bits that entit
 that discloses GENERALISE of its bits is generalised, from REMOVE on it is removed, wherever it
 stands in a document of that entity.
 
-A pair that meets in fewer than MIN_DOCS documents is held to disclose only if chance is no explanation: a
-word and an entity of one document each always have a PMI of the entity's whole information. It counts
-where the chance of so many meetings, times the pairs that could meet as often, is CHANCE or less.
+There is no floor under the counts: an entity of one document is the most identifying one, and words that
+hardly any other document has lead to it. Terms are words outside base spans, in p(t) and in p(t, e) alike,
+and every word of a whole document counts.
 
 DataFrame operations only. Patterns are the given ones with possessive quantifiers and, where the
 first character is of an unbounded class, a start at the class's edge or at the last match's end:
 the matches are the same, but a run of n characters costs n steps, not n * n, and no deep stack.
+Places of matches are prefix sums in blocks, so a text with n of them costs about n ** 1.5 small steps.
 
-Defined cases: null text is empty; spans of one kind never overlap, spans of two kinds may; equal
-rows get equal spans and count as documents of their own; a text that is one entity only has no
-terms; an empty table gives an empty table.
+Defined cases: null text is empty; spans of one kind never overlap, spans of two kinds may; equal texts
+get equal spans, and every row counts as a document of its own; a text that is one entity only has no
+terms; an entity of all documents holds no information, so nothing discloses it; columns of the input whose
+names clash with working columns are kept apart in one struct; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,12 +37,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Terms are words of at least TERM_LETTERS letters.
 LETTERS, TERM_LETTERS = r"\p{L}+", 3
-MIN_DOCS, GENERALISE, REMOVE = 3, 0.9, 0.98
-#: Pairs below MIN_DOCS that may pass by chance in the whole corpus.
-CHANCE = 0.05
+GENERALISE, REMOVE = 0.9, 0.98
+#: Matches whose places are summed in one block, and characters of a text's pieces.
+BLOCK, PIECE = 256, 512
 
 KINDS = ("email", "ip", "card", "phone")
-_SPAN = "struct<start:int,kind:int,end:int,value:string>"
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,30 +50,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def found(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """All leftmost non-overlapping matches (of a ``wanted`` value) as spans: the gaps between them give the places."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+def upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def placed(pair: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            value = pair["hits"][i]
-            begin = acc["at"] + pair["gaps"][i]
-            end = begin + F.length(value)
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-            out = F.concat(acc["out"], F.array(span))
-            return F.struct(end.alias("at"), (out if wanted is None else F.when(wanted(value), out).otherwise(acc["out"])).alias("out"))
+def before(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """What ``plus`` makes of 0 and all values before each: within blocks, then over the blocks.
 
-        n = F.size(pair["hits"])
-        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    An array that grows by one is copied each time; in blocks that is a small cost.
+    """
+
+    def run(items: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, zero, step, lambda acc: acc["out"])
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(upto(F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), plus))
+        return let(blocks, lambda bs: let(run(totals(bs), F.lit(0)), lambda firsts: F.flatten(F.transform(bs, lambda b, i: run(b, firsts[i])))))
+
+    return let(values, blocked)
+
+
+def found(text: Column, pattern: str, kind: int = 0) -> Column:
+    """All leftmost non-overlapping matches as spans: the gaps between them give the places."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+
+    def placed(m: Column) -> Column:
+        steps = F.transform(m["hits"], lambda v, i: m["gaps"][i] + F.length(v))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gaps")), placed)
+        def spans(at: Column) -> Column:
+            begin = lambda i: at[i] + m["gaps"][i]
+            return F.transform(m["hits"], lambda v, i: F.struct(begin(i).alias("start"), F.lit(kind).alias("kind"), (begin(i) + F.length(v)).alias("end"), v.alias("value")))
 
+        return let(before(steps, lambda a, b: a + b), spans)
 
-def _if_any(text: Column, gate: Column, spans: Column) -> Column:
-    return F.when(gate, spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)
+
+
+def _if_any(gate: Column, spans: Column) -> Column:
+    return F.when(gate, spans).otherwise(F.array().cast(_SPANS))
 
 
 def _digits(value: Column) -> Column:
@@ -92,17 +111,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
+def may_hold(text: Column) -> Column:
+    """False only where no base span can be."""
+    return text.contains("@") | text.rlike("[0-9]")
+
+
 def base_spans(text: Column) -> Column:
     """All base spans, sorted by start and then by kind."""
     digit = text.rlike("[0-9]")
-    email = _if_any(text, text.contains("@"), found(text, EMAIL, 0))
-    ip = _if_any(text, text.rlike(r"[0-9]\.[0-9]"), F.filter(found(text, IP, 1), lambda s: F.forall(F.split(s["value"], r"\."), _small_part)))
-    card = _if_any(
-        text,
-        digit,
-        F.filter(found(text, CARD, 2), lambda s: let(_digits(s["value"]), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))),
-    )
-    phone = _if_any(text, text.contains("+") & digit, F.filter(found(text, PHONE, 3), lambda s: F.length(_digits(s["value"])).between(9, 15)))
+    email = _if_any(text.contains("@"), found(text, EMAIL, 0))
+    ip = _if_any(text.rlike(r"[0-9]\.[0-9]"), F.filter(found(text, IP, 1), lambda s: F.forall(F.split(s["value"], r"\."), _small_part)))
+    is_card = lambda s: let(_digits(s["value"]), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
+    card = _if_any(digit, F.filter(found(text, CARD, 2), is_card))
+    phone = _if_any(text.contains("+") & digit, F.filter(found(text, PHONE, 3), lambda s: F.length(_digits(s["value"])).between(9, 15)))
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
@@ -112,113 +133,110 @@ def entities(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.concat(kind(s), F.lit(":"), F.lower(s["value"]))))
 
 
+def replaced(text: Column, spans: Column, by: Callable[[Column, Column, Column], Column]) -> Column:
+    """``text`` with sorted ``spans`` replaced by ``by(span, end of all before, whether it begins beyond that)``."""
+
+    def written(x: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            some = F.array_join(F.slice(x["pieces"], first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(some, a % PIECE + 1, b - a)).otherwise("")
+
+        def part(s: Column, i: Column) -> Column:
+            fresh = s["start"] >= x["ends"][i]
+            return F.concat(F.when(fresh, between(x["ends"][i], s["start"])).otherwise(""), by(s, x["ends"][i], fresh))
+
+        return F.concat(F.array_join(F.transform(x["spans"], part), ""), between(F.element_at(x["ends"], -1), x["size"]))
+
+    def ready(s: Column) -> Column:
+        ends = before(F.concat(F.transform(s, lambda x: x["end"]), F.array(F.lit(0))), lambda a, b: F.greatest(a, b))
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        made = F.struct(s.alias("spans"), ends.alias("ends"), pieces.alias("pieces"), F.length(text).alias("size"))
+        return F.when(F.size(s) > 0, let(made, written)).otherwise(text)
+
+    return let(spans, ready)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of spans, as long as it was."""
+    return replaced(text, spans, lambda s, end, fresh: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], end), F.lit(0))))
+
+
 def keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """``keep``, and each row's id, text and key."""
+    """``keep``, and each row's id, text and the digest of its text; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))
-    return docs.select(*keep, F.col("doc_id").alias("_doc"), text.alias("_text"), key.alias("_key"))
+    return docs.select(*keep, F.col("doc_id").alias("_doc"), text.alias("_text"), F.md5(text).alias("_copy"))
 
 
 def scan(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """``keep``, the row's key, a digest of its text, and its base spans; no shuffle."""
-    return keyed(docs, *keep).withColumn("_copy", F.md5("_text")).withColumn("_base", base_spans(F.col("_text")))
+    """``keyed``, and the base spans."""
+    return keyed(docs, *keep).withColumn("_base", base_spans(F.col("_text")))
 
 
 def terms_of(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))), lambda w: F.length(w) >= TERM_LETTERS)
+    """Distinct words of enough letters, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}"), F.lit(0)))
 
 
-def _none(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], schema)
+def outside(text: Column) -> Column:
+    return F.when(may_hold(text), masked(text, base_spans(text))).otherwise(text)
 
 
-def floor_of(total: int, tests: Callable[[int], int]) -> int:
-    """Documents that a pair must meet in at least: MIN_DOCS, or fewer if chance can be ruled out below it.
-
-    Of a term and an entity that stand in k documents each, all k are the same with a chance of
-    1 / comb(total, k), the least that any pair of k meetings has; ``tests(k)`` pairs could.
-    """
-    return next((k for k in range(1, MIN_DOCS) if total >= k and tests(k) <= CHANCE * math.comb(total, k)), MIN_DOCS)
+def classes_of(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, n) of the entities, and (_copy, class) of texts. Entities of the very same documents have the same
+    co-occurrences and are one class, such as those of one text full of them."""
+    met = scanned.where(F.size("_base") > 0).select("_copy", entities(F.col("_base")).alias("_e"))
+    met = met.groupBy("_copy").agg(F.count("*").alias("m"), F.min("_e").alias("_e"))
+    held = cut(met.select("_copy", "m", F.explode("_e").alias("entity")))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "_copy"), F.lit(1 << 31)))
+    same = held.groupBy("entity").agg(F.sum("m").alias("n"), part(1).alias("a"), part(2).alias("b"))
+    same = cut(same.select("entity", "n", F.concat_ws(":", "n", "a", "b").alias("class")))
+    of_copy = cut(lookup_join(held, same, ["entity"], F.col("_copy"), same.count()).select("_copy", "class").distinct())
+    return same.groupBy("class").agg(F.min("n").alias("n")), of_copy
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_key, _classes) of documents, and (class, terms) with the terms that disclose too much. Counts are over all documents.
+def disclosing(docs: DataFrame, classes: DataFrame, of_copy: DataFrame, plain: Column) -> DataFrame:
+    """(_copy, term, action): the terms of each text that disclose one of its entities. Counts are over all documents.
 
-    Entities of the very same documents, such as those of one text full of them, have the same pairs
-    and are one class. Equal texts are counted before their words are read.
+    ``plain`` is the text without its base spans.
     """
-    total = docs.count()
-    nothing = _none(docs, "_key string, _classes array<string>"), _none(docs, "class string, terms array<struct<term:string,action:string>>")
-    met = scanned.where(F.size("_base") > 0)
-    held = cut(met.select("_key", F.explode(entities(F.col("_base"))).alias("entity")).groupBy("_key", "entity").agg(F.count("*").alias("m")))
-    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 31)))
-    same = held.groupBy("entity").agg(F.sum("m").alias("n"), part(1).alias("a"), part(2).alias("b"))
-    same = cut(same.select("entity", "n", F.concat_ws(":", "n", "a", "b").alias("class")))
-    known = same.agg(*[F.count(F.when(F.col("n") >= k, 1)).alias(f"n{k}") for k in range(1, MIN_DOCS + 1)]).first()
-    least = next((k for k in range(1, MIN_DOCS) if known[f"n{k}"] and known[f"n{k}"] <= CHANCE * math.comb(total, k)), MIN_DOCS)
-    if not known[f"n{least}"]:
-        return nothing
+    total, widest = docs.count(), classes.agg(F.max("n")).first()[0]
+    # n_t documents of a term and n_e of an entity share min(n_t, n_e) at most, so a term of more than this discloses none
+    most = float(total) ** (1 - GENERALISE) * float(widest or 0) ** GENERALISE + 1
+    words = keyed(docs).select(F.explode(terms_of(plain)).alias("term"))
     # words are counted once a document and summed before they are shuffled
-    words = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
-    counts = cut(words.groupBy("term").agg(F.count("*").alias("_with_term")).where(F.col("_with_term") >= least))
-    spread = counts.agg(*[F.count(F.when(F.col("_with_term") >= k, 1)).alias(f"n{k}") for k in range(1, MIN_DOCS)]).first()
-    tests = {k: known[f"n{k}"] * spread[f"n{k}"] for k in range(least, MIN_DOCS)}
-    floor = floor_of(total, lambda k: tests.get(k, math.inf))
-    kept = same.where(F.col("n") >= floor)
-    n_kept = kept.count()
-    if not n_kept:
-        return nothing
-    classed = lookup_join(held, kept, ["entity"], F.col("_key"), n_kept).where("class is not null")
-    by_key = cut(classed.groupBy("_key").agg(F.collect_set("class").alias("_classes")))
-    n_keys = by_key.count()
-    copies = met.select("_key", "_copy", F.col("_doc")).join(by_key.select("_key"), "_key", "left_semi")
-    firsts = cut(copies.groupBy("_copy").agg(F.min("_key").alias("_key"), F.count("*").alias("m")).join(by_key, "_key").select("_key", "m", "_classes"))
-    read = lookup_join(keyed(docs), firsts, ["_key"], F.col("_doc"), n_keys).where("m is not null").dropDuplicates(["_key"])
-    outside = terms_of(replaced(F.col("_text"), base_spans(F.col("_text")), lambda s: F.lit(" ")))
-    read = read.select("m", "_classes", outside.alias("_words"))
-    pairs = read.select("m", "_words", F.explode("_classes").alias("class")).select("m", "class", F.explode("_words").alias("term"))
-    pairs = pairs.groupBy("class", "term").agg(F.sum("m").alias("_both")).where(F.col("_both") >= floor)
-    pairs = cut(pairs.withColumn("_with_entity", F.split("class", ":")[0].cast("long")))
+    counts = cut(words.groupBy("term").agg(F.count("*").alias("_with_term")).where(F.col("_with_term") <= most))
+    by_copy = cut(of_copy.groupBy("_copy").agg(F.collect_list("class").alias("_classes")))  # at most its own entities
+    rows = keyed(docs.where(may_hold(F.col("text")))).select("_doc", "_copy", "_text")
+    rows = lookup_join(rows, by_copy, ["_copy"], F.col("_doc"), by_copy.count()).where("_classes is not null")
+    each = rows.select("_copy", "_classes", F.explode(terms_of(plain)).alias("term"))
+    each = each.groupBy("_copy", "term").agg(F.count("*").alias("m"), F.min("_classes").alias("_classes"))
+    rare = cut(each.join(counts, "term").select("_copy", "term", "m", "_with_term", F.explode("_classes").alias("class")))
+    both = rare.groupBy("class", "term").agg(F.sum("m").alias("_both"), F.min("_with_term").alias("_with_term"))
+    both = lookup_join(both, classes, ["class"], F.col("term"), classes.count())
     n = F.lit(float(total))
-    pmi = F.log2(F.col("_both") * n / (F.col("_with_term") * F.col("_with_entity")))
-    bits = F.log2(n / F.col("_with_entity"))
-    share = F.when(bits > 0, pmi / bits)
-    ways = lambda c, k: F.col(c).cast("double") if k == 1 else F.col(c) * (F.col(c) - 1.0) / 2
-    sure = F.col("_both") >= MIN_DOCS
-    for k in range(floor, MIN_DOCS):
-        sure |= (F.col("_both") == k) & (ways("_with_term", k) * ways("_with_entity", k) * float(tests[k]) <= CHANCE * math.comb(total, k))
+    pmi = F.log2(F.col("_both") * n / (F.col("_with_term") * F.col("n")))
+    bits = F.log2(n / F.col("n"))
+    share = F.when(bits > 0, F.round(pmi / bits, 9))
     action = F.when(share >= REMOVE, "term-removed").when(share >= GENERALISE, "term-generalised")
-    bad = counts.join(pairs, "term").where(sure).select("class", "term", action.alias("action")).where("action is not null")
-    return by_key, cut(bad.groupBy("class").agg(F.collect_list(F.struct("term", "action")).alias("terms")))
+    bad = cut(both.select("class", "term", action.alias("action")).where("action is not null"))
+    hit = lookup_join(rare.select("_copy", "term", "class"), bad, ["class", "term"], F.col("_copy"), bad.count()).where("action is not null")
+    # a term of two entities may have two actions; removal is the stronger one, and the later by name
+    return cut(hit.groupBy("_copy", "term").agg(F.max("action").alias("action")))
 
 
 def term_spans(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(_key, _terms): the spans of disclosing terms, for the documents that have any."""
-    by_key, bad = disclosing(scanned, docs)
-    hit = lookup_join(by_key.select("_key", F.explode("_classes").alias("class")), bad, ["class"], F.col("_key"), bad.count()).where("terms is not null")
-    hit = cut(hit.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_hit")))
-    rows = lookup_join(keyed(docs), hit, ["_key"], F.col("_doc"), hit.count()).where("_hit is not null").dropDuplicates(["_key"])
-    # a term of two entities may have two actions; removal is the stronger one
-    of = lambda action: F.transform(F.filter("_hit", lambda t: t["action"] == action), lambda t: t["term"])
-    rows = rows.select("_key", "_text", base_spans(F.col("_text")).alias("_base"), of("term-removed").alias("_removed"), of("term-generalised").alias("_general"))
-    removed = lambda v: F.array_contains("_removed", F.lower(v))
-    places = found(F.col("_text"), LETTERS, 0, lambda v: removed(v) | F.array_contains("_general", F.lower(v)))
-    free = F.filter(places, lambda w: ~F.exists("_base", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
-    action = lambda w: F.when(removed(w["value"]), "term-removed").otherwise("term-generalised")
-    spans = F.transform(free, lambda w: F.struct(w["start"].alias("start"), action(w).alias("action"), w["end"].alias("end")))
-    return cut(rows.select("_key", spans.alias("_terms")).where(F.size("_terms") > 0))
-
-
-def replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """``text`` with sorted ``spans`` replaced; overlapping ones count as one."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """(_copy, _terms): the spans of disclosing terms, for the texts that have any."""
+    classes, of_copy = classes_of(scanned)
+    plain = outside(F.col("_text"))
+    hit = disclosing(docs, classes, of_copy, plain)
+    copies = hit.select("_copy").distinct().withColumn("_hit", F.lit(True))
+    rows = lookup_join(keyed(docs.where(may_hold(F.col("text")))), copies, ["_copy"], F.col("_doc"), copies.count()).where("_hit")
+    texts = rows.select("_copy", "_text").dropDuplicates(["_copy"])
+    places = texts.select("_copy", F.explode(found(plain, LETTERS)).alias("w"))
+    places = places.select("_copy", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    spans = places.join(hit, ["_copy", "term"]).groupBy("_copy").agg(F.collect_list(F.struct("start", "action", "end")).alias("_terms"))
+    return cut(spans)
 
 
 def _text_of(spans: Column) -> Column:
@@ -241,7 +259,7 @@ def report(docs: DataFrame) -> DataFrame:
     scanned = cut(scan(docs, "doc_id").drop("_text"))
     terms = term_spans(scanned, docs)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    joined = lookup_join(scanned, terms, ["_key"], F.col("_doc"), terms.count())
+    joined = lookup_join(scanned, terms, ["_copy"], F.col("_doc"), terms.count())
     return joined.select(
         "doc_id",
         *[count(k) for k in KINDS],
@@ -258,13 +276,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all spans replaced, and ``n_chars`` set anew; overlapping spans count as one."""
     scanned = cut(scan(docs).drop("_text"))
     terms = term_spans(scanned, docs)
-    rows = scan(docs, boxed(docs)).drop("_copy")
-    joined = lookup_join(rows, terms, ["_key"], F.col("_doc"), terms.count())
-    spans = F.array_sort(F.concat(_named(F.col("_base")), _terms(F.col("_terms"))))
-    placeholder = lambda s: F.coalesce(*[F.when(s["name"] == k, v) for k, v in PLACEHOLDERS.items()], F.lit(None).cast("string"))
-    clean = replaced(F.col("_text"), spans, placeholder)
+    joined = lookup_join(scan(docs, boxed(docs)), terms, ["_copy"], F.col("_doc"), terms.count())
+    rows = joined.withColumn("_spans", F.array_sort(F.concat(_named(F.col("_base")), _terms(F.col("_terms")))))
+    placeholder = lambda s: F.coalesce(*[F.when(s["name"] == k, v) for k, v in PLACEHOLDERS.items()])
+    clean = replaced(F.col("_text"), F.col("_spans"), lambda s, end, fresh: F.when(fresh, placeholder(s)).otherwise(""))
     dirty = F.size(F.col("_base")) > 0
-    out = joined.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("_row.text")))
+    out = rows.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("_row.text")))
     instead = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

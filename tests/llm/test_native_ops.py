@@ -1,10 +1,13 @@
 """License scan, mixing, PII, sharding: contracts, brute force and odd inputs."""
 
 import hashlib
+import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from strandlore.llm import license_scan, mixing, pii, sharding
@@ -168,14 +171,61 @@ def test_pii_terms_far_from_the_entity(spark):
     assert clean[0] == f"\n{filler}[EMAIL]" and clean[100] == filler
 
 
-def test_pii_pairs_below_the_floor_need_more_than_chance(spark):
-    """Two meetings tell nothing among few documents and many words, and much among many documents and few words."""
-    few = [(i, f"zorblatt a@b.c {' '.join('w' + chr(97 + j) + chr(97 + k) for j in range(9) for k in range(9))}", "en", "s") for i in range(2)]
-    many = [(i, "zorblatt a@b.c", "en", "s") for i in range(2)]
-    rest = lambda n: [(100 + i, "please wait", "en", "s") for i in range(n)]
-    assert all("term" not in r.spans for r in pii.report(docs(spark, few + rest(30))).collect())
-    got = {r.doc_id: r.spans for r in pii.report(docs(spark, many + rest(200))).collect()}
-    assert got[0] == "term-removed:0:8,email:9:14" and got[100] == ""
+def plain_report(texts):
+    """All spans of each text, with the documents of every term and entity counted by sets."""
+    texts = [t or "" for t in texts]
+    spans = [base(t) for t in texts]
+    blank = []
+    for t, found in zip(texts, spans, strict=True):
+        chars = list(t)
+        for start, _, end in found:
+            chars[start:end] = " " * (end - start)
+        blank.append("".join(chars))
+    with_term, with_entity = defaultdict(set), defaultdict(set)
+    for i, (t, found) in enumerate(zip(texts, spans, strict=True)):
+        for w in regex.findall(r"\p{L}{3,}", blank[i].lower()):
+            with_term[w].add(i)
+        for start, kind, end in found:
+            with_entity[pii.KINDS[kind], t[start:end].lower()].add(i)
+    hit = [{} for _ in texts]
+    n = len(texts)
+    for docs_of in with_entity.values():
+        for w in {w for i in docs_of for w in regex.findall(r"\p{L}{3,}", blank[i].lower())}:
+            met, bits = with_term[w] & docs_of, math.log2(n / len(docs_of))
+            share = round(math.log2(len(met) * n / (len(with_term[w]) * len(docs_of))) / bits, 9) if bits else 0
+            for i in met:
+                if share >= pii.GENERALISE:
+                    hit[i][w] = max(hit[i].get(w, 4), 5 if share >= pii.REMOVE else 4)
+    names = [*pii.KINDS, "term-generalised", "term-removed"]
+    terms = [[(m.start(), hit[i][m.group().lower()], m.end()) for m in regex.finditer(r"\p{L}+", blank[i]) if m.group().lower() in hit[i]] for i in range(n)]
+    return [",".join(f"{names[k]}:{a}:{e}" for a, k, e in sorted(s + t)) for s, t in zip(spans, terms, strict=True)]
+
+
+def test_pii_terms_equal_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text, "en", "s") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(100_000 + i, t, "en", "s") for i, t in enumerate(TRICKY)]
+    rows += [(200_000 + i, t, "en", "s") for i, t in enumerate(["abc a.b@c.de zorblatt"] * 3 + ["Zorblatt xyz 1.2.3.4 a.b@c.de"] * 2 + ["foo 1.2.3.4 4111 1111 1111 1111 1.2.3.4 bar foo"])]
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, rows)).collect()}
+    want = plain_report([r[1] for r in rows])
+    assert [got[r[0]] for r in rows] == want
+    assert sum("term" in w for w in want) >= 6
+    assert all(not w for w, r in zip(want, rows, strict=True) if not base(r[1]))  # documents without personal data stay
+
+
+def test_pii_cost_of_many_matches(spark):
+    """A text of 100,000 entities, and one of 100,000 words beside one, take seconds."""
+    rows = [(1, "".join(f"a{i}@b.cd 1.2.3.{i % 256} " for i in range(50_000)), "en", "s"), (2, "Zorblatt word " * 50_000 + "x@y.zz", "en", "s"), (3, "word", "en", "s")]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.report(docs(spark, rows)).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert time.monotonic() - began < 90
+    assert (got[1].n_email, got[1].n_ip, got[2].n_email, got[2].spans.count("term-removed")) == (50_000, 50_000, 1, 50_000)
+    assert clean[1] == "[EMAIL] [IP] " * 50_000 and clean[2] == " word " * 50_000 + "[EMAIL]" and clean[3] == "word"
+
+
+def test_pii_entity_of_all_documents_discloses_nothing(spark):
+    got = pii.report(docs(spark, [(i, f"word{chr(97 + i)} a@b.c", "en", "s") for i in range(5)])).collect()
+    assert all("term" not in r.spans and r.n_email == 1 for r in got)
 
 
 def test_sharding_contract(spark, sf):
