@@ -46,7 +46,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "media")
-    media.encode_media(table(spark, sf_dir, "documents")).write.parquet(path)
+    media.encode_media(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
     return media.media_features(spark.read.parquet(path))
 
 

@@ -197,12 +197,89 @@ def test_media_query_reads_what_it_stored(spark, sf, tmp_path, monkeypatch):
     assert len(stored) == 200 and {r["doc_id"]: r["media_sha256"] for r in got.collect()} == stored
 
 
-def test_media_refuses_blocks_that_are_not_flat():
-    stored = media.encode([b"abc"])[0]
-    at = stored.index(b"\xff\xda")
-    scan = at + 2 + int.from_bytes(stored[at + 2 : at + 4], "big")
-    with pytest.raises(ValueError, match="flat"):
-        media.decode([stored[:scan] + b"\xfe" * (len(stored) - scan - 2) + b"\xff\xd9"] if b"\xff\xd0" not in stored else [stored[:scan] + b"\xfe" * (stored.index(b"\xff\xd0") - scan) + stored[stored.index(b"\xff\xd0") :]])
+def written_elsewhere(image, quantiser, factors, interval):
+    """A baseline JPEG by the book: colour planes, cosine transform, AC codes, and tables that ``media`` doesn't use."""
+    at = np.arange(8)
+    basis = np.cos((2 * at[None, :] + 1) * at[:, None] * np.pi / 16) * np.where(at[:, None] == 0, np.sqrt(1 / 8), 0.5)
+    zigzag = sorted(((x, y) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 == 0 else p[1]))
+    dc = {s: (s, 4) for s in range(12)}
+    ac = {s: (i, 8) for i, s in enumerate([0, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 11))])}
+    h, v = max(f[0] for f in factors), max(f[1] for f in factors)
+    rows, columns = image.shape[:2]
+    across, down = -(-columns // (8 * h)), -(-rows // (8 * v))
+    blocks, dcs = [], np.zeros((down * factors[0][1], across * factors[0][0]), np.int64)
+    for k, (fh, fv) in enumerate(factors):
+        full = np.pad(image[:, :, k], ((0, down * 8 * v - rows), (0, across * 8 * h - columns)), mode="edge").astype(float)
+        plane = full.reshape(down * 8 * fv, v // fv, across * 8 * fh, h // fh).mean(axis=(1, 3)) - 128
+        blocks.append(np.array([[np.rint(basis @ plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] @ basis.T / quantiser).astype(int) for x in range(across * fh)] for y in range(down * fv)]))
+    dcs = blocks[0][:, :, 0, 0]
+    scan, bits, last = [], "", [0] * len(factors)
+
+    def put(table, symbol, value, size):
+        code, n = table[symbol]
+        return f"{code:0{n}b}" + (f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else "")
+
+    def closed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\x00")
+
+    for unit in range(across * down):
+        if interval and unit and unit % interval == 0:
+            scan += [closed(bits), bytes([0xFF, 0xD0 + (unit // interval - 1) % 8])]
+            bits, last = "", [0] * len(factors)
+        for k, (fh, fv) in enumerate(factors):
+            for y in range(fv):
+                for x in range(fh):
+                    b = blocks[k][unit // across * fv + y, unit % across * fh + x]
+                    d = int(b[0, 0]) - last[k]
+                    last[k] = int(b[0, 0])
+                    size = abs(d).bit_length()
+                    bits += put(dc, size, d, size)
+                    run = 0
+                    flat = [int(b[j, i]) for i, j in zigzag[1:]]
+                    while flat and flat[-1] == 0:
+                        flat.pop()
+                    for c in flat:
+                        if c == 0:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + put(ac, 0xF0, 0, 0), run - 16
+                        n = abs(c).bit_length()
+                        bits, run = bits + put(ac, run << 4 | n, c, n), 0
+                    bits += put(ac, 0, 0, 0) if len(flat) < 63 else ""
+    scan.append(closed(bits))
+    tables = lambda kind, t: bytes([kind, *[sum(n == i for _, n in t.values()) for i in range(1, 17)], *sorted(t, key=lambda s: t[s][0])])
+    head = [b"\xff\xd8", media._segment(0xE0, b"JFIF\0"), media._segment(0xDB, bytes([0]) + bytes([quantiser] * 64))]
+    head.append(media._segment(0xC0, bytes([8]) + rows.to_bytes(2, "big") + columns.to_bytes(2, "big") + bytes([len(factors)]) + b"".join(bytes([k + 1, fh << 4 | fv, 0]) for k, (fh, fv) in enumerate(factors))))
+    head.append(media._segment(0xC4, tables(0x01, dc) + tables(0x11, ac)))
+    head += [media._segment(0xDD, interval.to_bytes(2, "big"))] if interval else []
+    head.append(media._segment(0xDA, bytes([len(factors)]) + b"".join(bytes([k + 1, 0x11]) for k in range(len(factors))) + bytes([0, 63, 0])))
+    return b"".join([*head, *scan, b"\xff\xd9"]), np.clip((dcs * quantiser + 4) // 8 + 128, 0, 255)
+
+
+@pytest.mark.parametrize(("factors", "interval", "quantiser"), [([(1, 1)], 0, 11), ([(1, 1)], 5, 8), ([(2, 2), (1, 1), (1, 1)], 0, 16), ([(1, 1)] * 3, 3, 3)])
+def test_media_decodes_pictures_of_other_writers(factors, interval, quantiser):
+    rng = np.random.default_rng(8)
+    image = np.clip(rng.normal(128, 70, (37, 50, 3)).cumsum(axis=1) % 256, 0, 255)
+    stored, want = written_elsewhere(image[:, :, : len(factors)], quantiser, factors, interval)
+    (n, got), ours = media.decode([stored, media.encode([b"abc"])[0]])
+    assert got.shape == (5, 7) and (got == want[:5, :7]).all() and n == 35
+    assert ours[0] == 3 and ours[1].tobytes()[:4] == b"abc\xff"
+
+
+def test_media_refuses_damage():
+    text = b"some text of a few words " * 40
+    stored = media.encode([text])[0]
+    at = stored.index(b"\xff\xda") + 10
+    rng = np.random.default_rng(6)
+    for place in rng.integers(at, at + len(text), 60):  # in the padding, samples beyond 255 are 255
+        other = bytes([stored[place] ^ 1 << int(rng.integers(0, 8))])
+        with pytest.raises(ValueError):  # noqa: PT011
+            media.decode([stored[:place] + other + stored[place + 1 :]])
+    for broken in (stored[:-2], stored[: at + 5], stored.replace(b"\xff\xc0", b"\xff\xc2"), b"GIF89a"):
+        with pytest.raises(ValueError):  # noqa: PT011
+            media.decode([broken])
 
 
 def test_media_contract(spark):
