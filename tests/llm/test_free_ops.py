@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlore.llm import langid, media, packing, simhash, topk, warc
+from strandlore.llm import langid, media, packing, simhash, similar, topk, warc
 from strandlore.llm import queries
 from strandlore.llm.queries import tokenizer_path
 
@@ -138,12 +138,81 @@ def test_links_of_dense_clusters_are_whole(spark, block):
     assert groups(mine) == groups(want)
 
 
-def test_simhash_keeps_one_of_each(spark):
+def plain_shingles(text):
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))]
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_similar(texts):
+    """{id: least id of its component}, by all pairs of distinct shingle sets that have a shingle in common."""
+    sets, holders = {i: plain_shingles(t) for i, t in texts.items()}, {}
+    label = {i: i for i in sets}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sorted(sets):
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+        for j in {j for x in sets[i] for j in holders[x] if j < i}:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return {i: top(i) for i in sets}
+
+
+def near_copies(rng, n, words, changes):
+    base = [f"w{rng.integers(0, 10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.integers(0, words, changes):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        out.append(" ".join(copy))
+    return [" ".join(base), *out]
+
+
+@pytest.mark.parametrize("block", [5, 512])
+def test_similar_equals_brute_force(spark, sf, block, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["", None, "a b", "A  b", "a b c d e", "a b c d e f"]
+    # copies that are near their original and not one another, and some whose passages are common but not enough
+    texts += near_copies(rng, 25, 200, 4) + near_copies(rng, 10, 60, 1) + near_copies(rng, 12, 100, 5) + near_copies(rng, 4, 12, 1)
+    rows = dict(enumerate(texts))
+    d = docs(spark, [(i, t, "en", "s") for i, t in rows.items()])
+    links = similar.similar_links
+    monkeypatch.setattr(similar, "similar_links", lambda *a: links(*a, block=block))
+    named, each = similar.similar_classes(d)
+    got = {r.doc_id: r.label for r in each.join(named.select("node", "label"), "node").collect()}
+    groups = lambda label: {frozenset(i for i, x in label.items() if x == k) for k in set(label.values())}
+    assert groups(got) == groups(plain_similar(rows))
+
+
+def test_shingles_in_parts_equal_the_whole(monkeypatch):
+    text = " ".join(f"Wort{i % 700} é{i}" for i in range(3000)).encode()
+    whole = similar.shingle_set(text), similar.fingerprint(text)
+    monkeypatch.setattr(similar, "PART", 500)
+    assert len(list(similar.shingle_hashes(text))) > 50
+    assert (similar.shingle_set(text) == whole[0]).all() and similar.fingerprint(text) == whole[1] and len(whole[0]) == len(plain_shingles(text.decode()))
+
+
+def test_similar_keeps_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(i, text + (" end" if i % 2 else ""), "en", "s") for i in range(10, 30)] + [(5, "another text altogether", "en", "s"), (None, "no id", "en", "s")]
-    kept = simhash.keep_representatives(docs(spark, rows))
+    kept = similar.keep_representatives(docs(spark, rows))
     assert kept.columns == docs(spark, []).columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 10]
+    assert similar.keep_representatives(docs(spark, [])).count() == 0
+
+
+def test_similar_keeps_texts_that_share_an_id(spark):
+    a, b, c = ("one two three four five six", "a b c d e f g", "vier fünf sechs sieben acht neun")
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s"), (None, "x y", "en", "s"), (None, "x y", "en", "s"), (None, None, "en", "s"), (8, None, "en", "s")]
+    kept = similar.keep_representatives(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "x y"), (5, b), (5, a), (7, c), (8, "")]
 
 
 def test_topk_equals_brute_force(spark):

@@ -10,19 +10,20 @@ import pytest
 from strandlore.llm import langid
 from strandlore.llm.queries import tokenizer_path
 
-from test_free_ops import plain_components, plain_fingerprint
-from test_native_ops import base, waterfill
+from test_free_ops import plain_similar
+from test_native_ops import base, plain_report, waterfill
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PLACEHOLDERS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
+PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term-generalised": "[TERM]", "term-removed": ""}
 
 
-def plain_redact(text):
+def plain_redact(text, spans):
     out, at = "", 0
-    for start, kind, end in base(text):
-        if start >= at:
-            out += text[at:start] + PLACEHOLDERS[kind]
-        at = max(at, end)
+    for span in spans.split(",") if spans else []:
+        name, start, end = span.split(":")
+        if int(start) >= at:
+            out += text[at : int(start)] + PLACEHOLDERS[name]
+        at = max(at, int(end))
     return out + text[at:]
 
 
@@ -61,11 +62,13 @@ def test_stages_equal_plain_versions(spark, sf, stages):
     docs = {i: d for i, d in docs.items() if not classifier.predict(d["text"])[3]}
     assert {r["doc_id"]: r for r in stages[0][1]} == docs and len(docs) > 190
 
-    label = plain_components({i: plain_fingerprint(d["text"]) for i, d in docs.items()})
+    label = plain_similar({i: d["text"] for i, d in docs.items()})
     docs = {i: d for i, d in docs.items() if label[i] == i}
     assert {r["doc_id"]: r for r in stages[1][1]} == docs
 
-    docs = {i: d | ({"text": t, "n_chars": len(t)} if (t := plain_redact(d["text"])) != d["text"] else {}) for i, d in docs.items()}
+    spans = dict(zip(docs, plain_report([d["text"] for d in docs.values()]), strict=True))
+    assert any("term" in s for s in spans.values())
+    docs = {i: d | ({"text": t, "n_chars": len(t)} if (t := plain_redact(d["text"], spans[i])) != d["text"] else {}) for i, d in docs.items()}
     assert {r["doc_id"]: r for r in stages[2][1]} == docs
     assert not any(base(r["text"]) for r in stages[2][1])
 
