@@ -219,21 +219,45 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 8)) * rng.choice([0.1, 1, 30], size=(700, 1))
     x[50:300] = x[50]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(700, None), (750, [1.0, None] + [0.0] * 6), (800, [float("nan")] * 8), (850, [float("inf")] * 8), (900, [1.0, 2.0]), (901, [1.0, 2.0]), (901, [1.0, 2.0])]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
-    v = {i: np.pad(np.floor(256 * np.array(r)), (0, 8 - len(r))).astype(int) for i, r in rows if r and all(e is not None and np.isfinite(e) for e in r)}
-    want = {}
-    for q in v:
-        if q % 50 == 0:
-            best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5]
-            want |= {(q, k): (c, -s) for k, (s, c) in enumerate(best, 1)}
-    assert got == want
+    rows = [(i, [float(v) for v in r], "x") for i, r in enumerate(x)]
+    rows += [(700, None, "x"), (750, [1.0, None] + [0.0] * 6, "x"), (800, [float("nan")] * 8, "x"), (850, [float("inf")] * 8, "x"), (900, [1.0, 2.0], "x"), (901, [1.0, 2.0], "x")]
+    # repeated candidates, rows without an id, and a query that stands twice
+    rows += [(901, [1.0, 2.0], "y"), (901, [90.0] * 8, "y"), *[(3, rows[3][1], "y")] * 3, (None, [80.0] * 8, "y"), (None, [80.0] * 8, "y"), rows[100]]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    v = [(i, np.pad(np.floor(256 * np.array(r)), (0, 8 - len(r))).astype(int)) for i, r, _ in rows if r and all(e is not None and np.isfinite(e) for e in r)]
+    asked = {i: q for i, q in v if i is not None and i % 50 == 0}
+    assert set(got) == set(asked) and 100 in got
+    for i, q in asked.items():
+        best = sorted(((-int(q @ c), j is None, j or 0) for j, c in v if j != i))[:5]
+        assert got[i] == {k: (None if none else j, -s) for k, (s, none, j) in enumerate(best, 1)}
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_stops_early(spark, monkeypatch):
+    """Where vectors lie in clusters, a query sees few annuli, and results are still exact."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6)) * 4
+    x = centres[rng.integers(0, 12, 6000)] + rng.normal(size=(6000, 6)) * 0.05
+    d = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(d, F.col("vec_id") % 500 == 0).collect()}
+    v = np.floor(256 * x).astype(int)
+    g = topk.Geometry([{"vec_id": i, "v": list(map(int, r))} for i, r in enumerate(v[:2048])], 6, int((v * v).sum(axis=1).max()), 6000, 5)
+    cell, dist = g.place(v)
+    ring = (dist[:, None] > g.edges[cell]).sum(axis=1)
+    annuli = sorted(set(zip(cell.tolist(), ring.tolist(), strict=True)))
+    low, high = (np.array([f(dist[(cell == c) & (ring == n)]) for c, n in annuli]) for f in (np.min, np.max))
+    visited = []
+    for q in range(0, 6000, 500):
+        order = sorted((-int(s), j) for j, s in enumerate(v @ v[q]) if j != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(j, -s) for s, j in order]
+        visited.append((g.bounds(v[q : q + 1], low, high, np.array([c for c, _ in annuli]))[0] >= -order[-1][0]).mean())
+    assert np.mean(visited) < 0.5
+
+
 def test_annuli_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.integers(-300, 300, (500, 6))
