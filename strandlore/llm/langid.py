@@ -5,13 +5,14 @@ cut into blocks, each block is compressed with every dictionary, and the languag
 sizes add up to the least is predicted. Where the best and the second best differ by too little,
 the text is rejected (and the prediction still given).
 
-The dictionaries are fitted on a bounded sample of labelled rows: the SAMPLE distinct texts of each
-language with the smallest hashes, an excerpt of EXCERPT characters of each, from a place that the
-hash decides. Prediction reads the whole text and nothing else.
+The dictionaries are fitted on a bounded sample of labelled rows: the distinct texts of each language with
+the smallest hashes, whole, that fill the DICTIONARY bytes of its dictionary; beyond LANGUAGES distinct labels those of
+most text are learned. Prediction reads the whole text, in blocks, and nothing else.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; so is every
 text if nothing was learned; equal sizes go to the language that sorts first; rows without a
-language or doc_id are predicted and not learned from; an empty table gives an empty table.
+language or doc_id are predicted and not learned from; copies of a text count once; columns of the input whose names
+clash with working columns are kept apart; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandlore.llm.common import boxed, small_batches, unboxed
+from strandlore.session import cut
 
-SAMPLE, EXCERPT = 320, 512
+#: Bytes of a language's dictionary, most languages, and low bits of the hash that one span of its order leaves open.
+DICTIONARY, LANGUAGES, SPAN_BITS = 160_000, 1000, 48
 BLOCK, LEVEL = 2048, 6
 #: The score is even odds at no margin and nears one by this many bytes. A text is rejected, however
 #: long, if the second best is larger than the best by less than this part of the best.
@@ -39,21 +42,32 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionary per language from (text, lang). The driver gets SAMPLE excerpts of each language at most twice."""
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    distinct = rows.select("lang", F.xxhash64("text").alias("_h")).distinct()
-    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
-    if not counts:
+    """Dictionary per language from (text, lang). The driver gets DICTIONARY bytes of each of LANGUAGES languages at most.
+
+    Every distinct text has a place in its language's hash order; the dictionary is the texts in this order, whole,
+    until DICTIONARY bytes are full, of which the last one may lose its end. Lengths are summed over spans of the
+    order first, so that only texts that can be needed are looked at by themselves.
+    """
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
+    size = F.least(F.octet_length("text"), F.lit(DICTIONARY)).cast("long")
+    distinct = rows.select("lang", "_h", size.alias("_n")).distinct()
+    spans = distinct.groupBy("lang", F.shiftright(F.col("_h"), SPAN_BITS).alias("_span")).agg(F.sum("_n").alias("_n"))
+    spans = cut(spans)
+    # the languages of most text, so that a label of every document can't fill the driver
+    most = [r["lang"] for r in spans.groupBy("lang").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()]
+    if not most:
         return {}
-    parts = [(lang, -(2**63) + min((2**64 - 1) * 2 * SAMPLE // n, 2**64 - 1)) for lang, n in counts.items()]
-    limits = rows.sparkSession.createDataFrame(parts, "lang string, _below long")
-    hashed = rows.withColumn("_h", F.xxhash64("text")).join(F.broadcast(limits), "lang").where("_h <= _below")  # a row per language
-    start = F.pmod("_h", F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    excerpts = hashed.groupBy("lang", "_h").agg(F.min(F.substring("text", start, F.lit(EXCERPT))).alias("part")).collect()
+    labels = rows.sparkSession.createDataFrame([(lang,) for lang in most], "lang string")
+    so_far = F.sum("_n").over(Window.partitionBy("lang").orderBy("_span"))
+    needed = spans.join(F.broadcast(labels), "lang").withColumn("_before", so_far - F.col("_n")).where(F.col("_before") < DICTIONARY)
+    limits = needed.groupBy("lang").agg(F.max("_span").alias("_last"))  # LANGUAGES rows at most
+    some = rows.join(F.broadcast(limits), "lang").where(F.shiftright(F.col("_h"), SPAN_BITS) <= F.col("_last"))
+    some = some.groupBy("lang", "_h").agg(F.min(F.substring("text", 1, DICTIONARY)).alias("part"))
+    before = F.sum(F.octet_length("part").cast("long")).over(Window.partitionBy("lang").orderBy("_h")) - F.octet_length("part")
     out: dict[str, list] = {}
-    for r in sorted(excerpts, key=lambda r: (r["lang"], r["_h"])):
+    for r in some.withColumn("_before", before).where(F.col("_before") < DICTIONARY).select("lang", "_h", "part").orderBy("lang", "_h").collect():
         out.setdefault(r["lang"], []).append(r["part"].lower())
-    return {lang: "\n".join(found[:SAMPLE]).encode() for lang, found in out.items()}
+    return {lang: "\n".join(found).encode()[:DICTIONARY].decode(errors="ignore").encode() for lang, found in out.items()}
 
 
 class Classifier:
@@ -83,7 +97,7 @@ class Classifier:
 
 
 def with_prediction(docs: DataFrame, model: dict[str, bytes], text: str = "text") -> DataFrame:
-    """Adds a struct column ``_lang``. No shuffle; the model is SAMPLE * EXCERPT characters a language."""
+    """Adds a struct column ``_lang``. No shuffle; the model is DICTIONARY bytes a language."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -47,9 +47,29 @@ def test_language_undetermined(spark):
 
 def test_language_of_many_copies_is_learned(spark):
     few = [f"das ist ein kurzer text nummer {i} und der hund" for i in range(5)]
-    rows = [(few[i % 5], "de") for i in range(6400)] + [(f"the quick brown fox {i}", "en") for i in range(1000)]
+    rows = [(few[i % 5], "de") for i in range(20_000)] + [("le chat et le chien vont à la maison", "fr")] * 20_000 + [(f"the quick brown fox {i} " * 50, "en") for i in range(1000)]
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
-    assert set(model["de"].decode().split("\n")) == set(few) and len(model["en"].decode().split("\n")) == langid.SAMPLE
+    assert set(model["de"].decode().split("\n")) == set(few) and model["fr"].decode() == rows[20_000][0]
+    # the first texts in the order of their hashes, whole
+    en = spark.createDataFrame(rows[-1000:], "text string, lang string").orderBy(F.xxhash64("text")).limit(langid.DICTIONARY // 1000).collect()
+    assert model["en"].decode() == "\n".join(r.text for r in en)[: len(model["en"])] and langid.DICTIONARY - 3 <= len(model["en"]) <= langid.DICTIONARY
+
+
+def test_language_equals_plain_compression(spark, sf):
+    """Predictions of whole texts against a loop over plain compressor calls, a very long text among them."""
+    import zstandard
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    text = {r.doc_id: r.text for r in d.collect()}
+    text[10**6] = " ".join(list(text.values())[:40]) * 4
+    model = langid.fit(d.where(langid.fold() != 0))
+    all_of = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r.doc_id: r._lang.lang_pred for r in langid.with_prediction(all_of, model).collect()}
+    coders = {k: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for k, v in model.items()}
+    for i, t in text.items():
+        raw = t.lower().encode()
+        sizes = {k: sum(len(c.compress(raw[a : a + langid.BLOCK])) for a in range(0, len(raw), langid.BLOCK)) for k, c in coders.items()}
+        assert got[i] == (min(sizes, key=lambda k: (sizes[k], k)) if any(map(str.isalpha, t)) else "und")
 
 
 def test_long_noise_is_rejected():
