@@ -4,13 +4,13 @@ Features are word n-grams (one and two words) of the templates below, present or
 DIMS weights; a multinomial logistic regression over the licence families and an ``unknown`` class
 scores a paragraph. It is trained on perturbed template paragraphs (windows, dropped words) against
 word salad of the same vocabulary and sentences that speak of licences without granting one. A
-temperature and the acceptance threshold are calibrated on held-out perturbations, so that at most
+temperature and the acceptance threshold are calibrated on other wordings that training never sees, so that at most
 FALSE_ACCEPT of the unknown ones pass. A prediction is confirmed if the paragraph holds at least CONFIRM of
 the n-grams of one of the family's templates.
 
 Training is plain arithmetic on the few hundred template paragraphs and reads no corpus. Scoring is
-one map-only pass of DataFrame operations: a text without any cue is done after CUES substring
-searches, all other paragraphs are scored with array functions; nothing is shuffled.
+one map-only pass of DataFrame operations: a paragraph without a word of the cover can't hold CONFIRM of any template
+and is done after one search; all others are scored with array functions; nothing is shuffled.
 
 A paragraph is a line that is confirmed by itself. Notices are wrapped as well, so each other line is
 also joined with the lines after it, up to an empty or confirmed one, until these hold as many words as
@@ -18,7 +18,9 @@ the longest template. Of joined lines that overlap and confirm one family, the o
 counts, then the one that starts last; its place is that of its first line.
 
 Defined cases: a null or empty text has no paragraph; equal rows get equal
-results; where two paragraphs tie, the first counts; an empty table gives an empty table.
+results; where two paragraphs tie, the first counts; a very long text is a long row of lines, each looked at once and in
+windows of at most LONGEST lines; only doc_id and the text are read, whatever other columns are called; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,12 +43,15 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Released under the BSD 3-Clause License.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc-by": [
@@ -70,6 +75,11 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
@@ -84,6 +94,7 @@ TEMPLATES = {
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "proprietary": [
@@ -97,6 +108,21 @@ TEMPLATES = {
     ],
 }
 UNKNOWN = "unknown"
+# Other wordings of the same, on which temperature and threshold are calibrated; never trained on.
+HELD_OUT = {
+    "apache": ["Distributed under the Apache License, Version 2.0.", "The code is licensed under the Apache License, version 2.0, see the License for details."],
+    "bsd": ["This code is released under the terms of the BSD 3-Clause License.", "Redistribution and use in source and binary forms are permitted provided that the conditions are met."],
+    "cc-by": ["Available under CC BY 4.0.", "The text is under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-nc": ["Available under CC BY-NC 4.0.", "Published under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-sa": ["This content is available under CC BY-SA 4.0.", "Content is under the Creative Commons Attribution-ShareAlike License 4.0."],
+    "gpl": ["You can redistribute this program under the terms of the GNU General Public License.", "Licensed under the GNU General Public License, version 3."],
+    "isc": ["This package is released under the ISC License.", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is granted."],
+    "lgpl": ["The library may be used under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License."],
+    "mit": ["This code is released under the MIT License.", "Permission is granted, free of charge, to any person obtaining a copy of the Software."],
+    "mpl": ["The file is subject to the Mozilla Public License, v. 2.0.", "This Source Code Form is under the Mozilla Public License 2.0."],
+    "proprietary": ["Copyright by the company. All rights reserved.", "No part of this book may be reproduced without permission. All rights reserved."],
+    "public-domain": ["This work is in the public domain under CC0 1.0 Universal.", "The software is released into the public domain, free and unencumbered."],
+}
 # Sentences that mention licences and rights and grant nothing.
 NEGATIVES = [
     "The driver's license office opens at nine in the morning.",
@@ -113,7 +139,7 @@ NEGATIVES = [
     "Licensed electricians may work in this area under the terms of the permit.",
     "The general public may use the library free of charge.",
 ]
-#: A paragraph is looked at if it holds one of these (lower case).
+#: An unconfirmed document speaks of licences if it holds one of these (lower case); they gate nothing else.
 CUES = ["licen", "copyright", "permi", "redistribut", "rights reserved", "public domain", "free software"]
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words of the longest template.
@@ -125,6 +151,21 @@ def grams(paragraph: str) -> list[str]:
     return list(dict.fromkeys([*words, *map(" ".join, zip(words, words[1:], strict=False))]))
 
 
+def cover() -> list[str]:
+    """Strings of which every paragraph that can be confirmed holds one.
+
+    Of each template words are taken, long ones first since they are rarer, until the n-grams without them are less than
+    CONFIRM of all; a word that holds another one is found through it.
+    """
+    out: set[str] = set()
+    for gs in (grams(t) for ts in TEMPLATES.values() for t in ts):
+        for w in sorted({w for g in gs for w in g.split()}, key=lambda w: (-len(w), w)):
+            if sum(not out & set(g.split()) for g in gs) < CONFIRM * len(gs):
+                break
+            out.add(w)
+    return sorted(w for w in out if not any(v != w and v in w for v in out))
+
+
 def slot(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram.encode(), 42) % DIMS
 
@@ -136,7 +177,7 @@ class Model:
         rng = random.Random(seed)
         self.classes = [*TEMPLATES, UNKNOWN]
         self.vocabulary = sorted({g for ps in TEMPLATES.values() for p in ps for g in grams(p)})
-        known, words = set(self.vocabulary), sorted({w for g in self.vocabulary for w in g.split()})
+        self.known, words = set(self.vocabulary), sorted({w for g in self.vocabulary for w in g.split()})
 
         def perturbed(paragraph: str) -> list[str]:
             w = re.findall(WORDS, paragraph.lower())
@@ -152,12 +193,17 @@ class Model:
             data += [(grams(p), UNKNOWN)] * 4 + [(grams(" ".join(perturbed(p))), UNKNOWN) for _ in range(10)]
         for _ in range(600):
             data.append((grams(" ".join(rng.choices(words, k=rng.randint(1, 14)))), UNKNOWN))
+        n_train = len(data)
+        for family, paragraphs in HELD_OUT.items():
+            data += [(grams(p), family) for p in paragraphs]
+        data += [(grams(p), UNKNOWN) for p in NEGATIVES[::2] for _ in range(2)]
+        data += [(grams(" ".join(rng.choices(words, k=rng.randint(1, 14)))), UNKNOWN) for _ in range(400)]
+        data += [(grams(" ".join(perturbed(p))), UNKNOWN) for p in NEGATIVES for _ in range(4)]
         x, y = np.zeros((len(data), DIMS)), np.zeros((len(data), len(self.classes)))
         for i, (found, family) in enumerate(data):
-            inside = [slot(g) for g in found if g in known]
-            x[i, inside] = 1 / math.sqrt(max(1, len(inside)))
+            x[i] = self._features(found)
             y[i, self.classes.index(family)] = 1
-        held = np.array([rng.random() < 0.2 for _ in data])
+        held = np.arange(len(data)) >= n_train
         used = np.flatnonzero(x.any(axis=0))
         w, b, a, t = np.zeros((len(used), y.shape[1])), np.zeros(y.shape[1]), x[~held][:, used], y[~held]
         for _ in range(400):  # full gradient steps; sparse in effect, since only template n-grams carry weight
@@ -174,6 +220,17 @@ class Model:
         self.weights[used] = w / heat
         self.held_out_accuracy = float((np.where(top > self.threshold, p[:, :-1].argmax(axis=1), len(self.classes) - 1) == truth).mean())
 
+    def _features(self, found: list[str]) -> np.ndarray:
+        out = np.zeros(DIMS)
+        inside = [slot(g) for g in found if g in self.known]
+        np.add.at(out, inside, 1 / math.sqrt(max(1, len(inside))))  # n-grams of one slot add up
+        return out
+
+    def score(self, paragraph: str) -> tuple[str, float]:
+        """Family and probability, as the columns of ``paragraph_score`` have them."""
+        p = self._softmax((self._features(grams(paragraph)) @ self.weights + self.bias)[None, :])[0, :-1]
+        return (self.classes[int(p.argmax())] if p.max() > self.threshold else UNKNOWN), float(p.max())
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -231,6 +288,10 @@ def cue(text: Column) -> Column:
     return F.coalesce(*[F.when(text.contains(x), True) for x in CUES], F.lit(False))
 
 
+def gate(text: Column) -> Column:
+    return F.coalesce(*[F.when(text.contains(x), True) for x in cover()], F.lit(False))
+
+
 def confirmed(scored: Column) -> Column:
     return F.filter(scored, lambda s: (s["r"]["family"] != UNKNOWN) & (s["r"]["containment"] >= CONFIRM))
 
@@ -252,35 +313,35 @@ def joined(lines: Column, own: Column) -> Column:
             # no line that is joined is empty, so LONGEST of them are enough
             return F.aggregate(F.slice(ls, s["i"] + 2, F.lit(LONGEST)), start, step, lambda acc: F.struct(acc["p"].alias("p"), s["i"].alias("i"), acc["e"].alias("e")))
 
-        return F.filter(F.transform(F.filter(ls, lambda s: s["n"] > 0), window), lambda w: (w["e"] > w["i"]) & cue(w["p"]))
+        return F.filter(F.transform(F.filter(ls, lambda s: s["n"] > 0), window), lambda w: (w["e"] > w["i"]) & gate(w["p"]))
 
     return _let(counted, windows)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: its licence (the confirmed family of highest score, ``unknown`` if only unconfirmed
-    or unclear paragraphs hold cues, else ``none``), score, containment, paragraph, and all families.
-    Candidates are the lines that hold a cue, and the joined lines that were confirmed."""
+    """Per document: its licence (the confirmed family of highest score, ``unknown`` if it speaks of
+    licences and none is confirmed, else ``none``), score, containment, paragraph, and all families.
+    Candidates are the lines that hold a word of the cover, and the joined lines that were confirmed."""
     low = docs.select("doc_id", F.lower(text).alias("_low"))
-    any_cue = cue(F.translate("_low", "\n", " "))
+    any_cue = gate(F.col("_low"))
     lines = F.transform(F.split("_low", "\n", -1), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    low = low.select("doc_id", F.when(any_cue, lines).otherwise(F.array().cast("array<struct<p:string,i:int>>")).alias("_lines"))
+    low = low.select("doc_id", "_low", F.when(any_cue, lines).otherwise(F.array().cast("array<struct<p:string,i:int>>")).alias("_lines"))
     score = lambda c: F.transform(c, lambda s: F.struct(s["i"].alias("i"), paragraph_score(s["p"]).alias("r")))
-    rows = low.select("doc_id", "_lines", score(F.filter("_lines", lambda s: cue(s["p"]))).alias("_own"))
+    rows = low.select("doc_id", "_lines", score(F.filter("_lines", lambda s: gate(s["p"]))).alias("_own"), cue(F.col("_low")).alias("_cue"))
     own = F.transform(confirmed(F.col("_own")), lambda s: s["i"])
-    rows = rows.select("doc_id", "_own", F.when(F.size("_lines") > 1, joined(F.col("_lines"), own)).otherwise(F.array().cast("array<struct<p:string,i:int,e:int>>")).alias("_joined"))
+    rows = rows.select("doc_id", "_own", "_cue", F.when(F.size("_lines") > 1, joined(F.col("_lines"), own)).otherwise(F.array().cast("array<struct<p:string,i:int,e:int>>")).alias("_joined"))
     wide = F.transform("_joined", lambda s: F.struct(s["i"].alias("i"), s["e"].alias("e"), paragraph_score(s["p"]).alias("r")))
-    rows = rows.select("doc_id", "_own", (F.size("_own") + F.size("_joined")).alias("_looked"), confirmed(wide).alias("_wide"))
+    rows = rows.select("doc_id", "_own", "_cue", confirmed(wide).alias("_wide"))
     more = lambda x, w: (x["r"]["containment"] > w["r"]["containment"]) | ((x["r"]["containment"] == w["r"]["containment"]) & (x["i"] > w["i"]))
     better = lambda w: F.exists("_wide", lambda x: (x["r"]["family"] == w["r"]["family"]) & (x["i"] <= w["e"]) & (w["i"] <= x["e"]) & more(x, w))
     best = F.transform(F.filter("_wide", lambda w: ~better(w)), lambda w: F.struct(w["i"].alias("i"), w["r"].alias("r")))
-    rows = rows.select("doc_id", "_looked", F.concat("_own", best).alias("_s"))
+    rows = rows.select("doc_id", "_cue", F.concat("_own", best).alias("_s"))
     sure = confirmed(F.col("_s"))
     ranked = F.array_sort(F.transform(sure, lambda s: F.struct((-s["r"]["score"]).alias("order"), s["i"].alias("i"), s["r"].alias("r"))))
-    rows = rows.select("doc_id", "_looked", "_s", F.when(F.size(ranked) > 0, F.element_at(ranked, 1)).alias("_best"), sure.alias("_sure"))
+    rows = rows.select("doc_id", "_cue", "_s", F.when(F.size(ranked) > 0, F.element_at(ranked, 1)).alias("_best"), sure.alias("_sure"))
     return rows.select(
         "doc_id",
-        F.when(F.col("_best").isNotNull(), F.col("_best.r.family")).when(F.col("_looked") > 0, UNKNOWN).otherwise("none").alias("license"),
+        F.when(F.col("_best").isNotNull(), F.col("_best.r.family")).when(F.col("_cue"), UNKNOWN).otherwise("none").alias("license"),
         F.col("_best.r.score").alias("score"),
         F.col("_best.r.containment").alias("containment"),
         F.col("_best.i").alias("paragraph"),
