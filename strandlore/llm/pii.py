@@ -28,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlore.llm.common import boxed, lookup_join, unboxed
+from strandlore.llm.common import BROADCAST_ROWS, boxed, lookup_join, unboxed
 from strandlore.session import cut
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -208,7 +208,7 @@ def disclosing(docs: DataFrame, classes: DataFrame, of_copy: DataFrame, plain: C
     counts = cut(words.groupBy("term").agg(F.count("*").alias("_with_term")).where(F.col("_with_term") <= most))
     by_copy = cut(of_copy.groupBy("_copy").agg(F.collect_list("class").alias("_classes")))  # at most its own entities
     rows = keyed(docs.where(may_hold(F.col("text")))).select("_doc", "_copy", "_text")
-    rows = lookup_join(rows, by_copy, ["_copy"], F.col("_doc"), by_copy.count()).where("_classes is not null")
+    rows = lookup_join(rows, by_copy, ["_copy"], F.col("_doc"), of_copy.count()).where("_classes is not null")
     each = rows.select("_copy", "_classes", F.explode(terms_of(plain)).alias("term"))
     each = each.groupBy("_copy", "term").agg(F.count("*").alias("m"), F.min("_classes").alias("_classes"))
     rare = cut(each.join(counts, "term").select("_copy", "term", "m", "_with_term", F.explode("_classes").alias("class")))
@@ -239,6 +239,12 @@ def term_spans(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(spans)
 
 
+def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds ``_terms``. They are broadcast if there are few spans, whatever the texts; adaptive execution splits a hot text otherwise."""
+    n = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    return rows.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "_copy", "left")
+
+
 def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -259,7 +265,7 @@ def report(docs: DataFrame) -> DataFrame:
     scanned = cut(scan(docs, "doc_id").drop("_text"))
     terms = term_spans(scanned, docs)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    joined = lookup_join(scanned, terms, ["_copy"], F.col("_doc"), terms.count())
+    joined = with_terms(scanned, terms)
     return joined.select(
         "doc_id",
         *[count(k) for k in KINDS],
@@ -276,7 +282,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all spans replaced, and ``n_chars`` set anew; overlapping spans count as one."""
     scanned = cut(scan(docs).drop("_text"))
     terms = term_spans(scanned, docs)
-    joined = lookup_join(scan(docs, boxed(docs)), terms, ["_copy"], F.col("_doc"), terms.count())
+    joined = with_terms(scan(docs, boxed(docs)), terms)
     rows = joined.withColumn("_spans", F.array_sort(F.concat(_named(F.col("_base")), _terms(F.col("_terms")))))
     placeholder = lambda s: F.coalesce(*[F.when(s["name"] == k, v) for k, v in PLACEHOLDERS.items()])
     clean = replaced(F.col("_text"), F.col("_spans"), lambda s, end, fresh: F.when(fresh, placeholder(s)).otherwise(""))
