@@ -23,6 +23,15 @@ def byte_tokens(word: Column, special: int = 0) -> Column:
     return F.transform(F.split(bytes_as_chars, ""), lambda c: F.ascii(c) + special)
 
 
+def byte_pair_counts(words: DataFrame) -> DataFrame:
+    """``pair_counts`` of the bytes of (word, freq): pairs are counted as strings of two characters, and read as numbers at the end."""
+    chars = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
+    long = words.select("freq", chars.alias("c")).where(F.length("c") > 1)
+    at = long.select("freq", "c", F.explode(F.sequence(F.lit(1), F.length("c") - 1)).alias("i"))
+    counts = at.select("freq", F.substring("c", F.col("i"), F.lit(2)).alias("p")).groupBy("p").agg(F.sum("freq").alias("n"))
+    return counts.select(F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b"), "n")
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """(a, b, n) over adjacent ids of (ids, freq), weighted by word frequency."""
     long = words.where(F.size("ids") > 1)

@@ -91,6 +91,17 @@ def eviction_order(entries: DataFrame, keep: int) -> DataFrame:
     return placed.join(F.broadcast(totals)).where(F.col("_before") + F.col("_nth") <= F.col("_all") - keep).select("entry", "uses", "last_use", (F.col("_before") + F.col("_nth")).alias("eviction_rank"))
 
 
+def idle_steps(activity: DataFrame, key: str, step: str, patience: int) -> DataFrame:
+    """Steps of the log after each key's last one: (key, streak, prune). No grid of keys and steps.
+
+    The log's steps are numbered (a table of one row a step); keys are aggregated to their last step first.
+    """
+    steps = activity.select(step).distinct().withColumn("_after", F.row_number().over(Window.orderBy(F.desc(step))) - 1)
+    last = activity.groupBy(key).agg(F.max(step).alias(step))
+    streak = F.col("_after").cast("long")
+    return last.join(steps, step).select(key, streak.alias("streak"), (streak >= patience).alias("prune"))
+
+
 def zero_streaks(activity: DataFrame, key: str, batch: str, active: str, patience: int) -> DataFrame:
     """Current run of inactive batches per key, and whether it is long enough to prune."""
     w = Window.partitionBy(key).orderBy(F.desc(batch)).rowsBetween(Window.unboundedPreceding, 0)

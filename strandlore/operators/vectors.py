@@ -32,19 +32,38 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+#: Queries that meet the rows in one block.
+QUERY_BLOCK = 1024
+
+
+def against(rows: DataFrame, queries: DataFrame, *names: str) -> DataFrame:
+    """Every row with every query of a stated set: the columns of ``rows`` and the ``names`` of ``queries``.
+
+    Queries go in blocks of about QUERY_BLOCK, each one array row. One block is broadcast, so rows stay in their scan;
+    of several blocks each meets a copy of the rows, in as many tasks as there are blocks times salts.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    packed = queries.withColumn("_block", F.pmod(F.xxhash64(names[0]), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(*names)).alias("_asked"))
+    if blocks == 1:
+        met = rows.join(F.broadcast(packed.drop("_block")))  # one row of QUERY_BLOCK queries
+    else:
+        salts = 16
+        packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        every = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = every.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(packed, ["_block", "_salt"]).drop("_block", "_salt")
+    return met.withColumn("_a", F.explode("_asked")).select(*rows.columns, *[F.col(f"_a.{n}").alias(n) for n in names])
+
+
 def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", keep: Column | None = None, filter_mode: str = "post", shard: Column | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): per shard the best k, then the best k of those.
 
-    ``items``: item_id, v and what ``keep`` reads; ``queries``: query_id, q, a stated handful that is
-    carried as one array row, so items are scanned once. ``filter_mode`` "post" filters a shard's best k (fewer
-    than k may be left), "pre" filters before ranking.
+    ``items``: item_id, v and what ``keep`` reads; ``queries``: query_id, q, a stated set that goes in blocks.
+    ``filter_mode`` "post" filters a shard's best k (fewer than k may be left), "pre" filters before ranking.
     """
     score = dot(F.col("q"), F.col("v")) if metric == "dot" else cosine(F.col("q"), F.col("v"))
-    asked = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("_asked"))
     rows = items if keep is None or filter_mode != "pre" else items.where(keep)
     rows = rows.withColumn("_shard", F.lit(0) if shard is None else shard)
-    rows = rows.join(F.broadcast(asked)).withColumn("_a", F.explode("_asked")).drop("_asked").withColumns({"query_id": F.col("_a.query_id"), "q": F.col("_a.q")})
-    rows = rows.withColumn("score", F.round(score, 6)).drop("q", "v", "_a")
+    rows = against(rows, queries, "query_id", "q").withColumn("score", F.round(score, 6)).drop("q", "v")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "item_id"))
     rows = rows.withColumn("_n", best("query_id", "_shard")).where(F.col("_n") <= k)
     if keep is not None and filter_mode == "post":

@@ -210,12 +210,8 @@ def cache_eviction_plan(t):
  s AS (SELECT user_id, count(*) FILTER (day > coalesce((SELECT max(day) FROM g g2 WHERE g2.user_id = g.user_id AND g2.active), DATE '1900-01-01')) AS streak FROM g GROUP BY user_id)
 SELECT user_id, streak, streak >= 2 AS prune FROM s""")
 def zero_streak_prune(t):
-    """Days without activity at the end of the log, per user; the calendar is a bounded array, not a join."""
-    active = t.events.select("user_id", F.to_date("ts").alias("day")).distinct()
-    days = active.agg(F.array_sort(F.collect_set("day")).alias("days"))  # one row: the log's days
-    users = active.groupBy("user_id").agg(F.collect_set("day").alias("mine")).join(F.broadcast(days))
-    grid = users.select("user_id", F.explode("days").alias("day"), "mine").select("user_id", "day", F.array_contains("mine", F.col("day")).alias("active"))
-    return lifecycle.zero_streaks(grid, "user_id", "day", "active", 2)
+    """Days of the log after each user's last one."""
+    return lifecycle.idle_steps(t.events.select("user_id", F.to_date("ts").alias("day")), "user_id", "day", 2)
 
 
 # ---- replicas and nodes
@@ -323,7 +319,7 @@ def share_cutoff_digest(t):
 
 
 @R.add("""WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS node_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id FROM conversations),
- up AS (SELECT node_id, node_id AS ancestor_id, 0 AS depth FROM n UNION ALL SELECT u.node_id, n.parent_id, u.depth + 1 FROM up u JOIN n ON u.ancestor_id = n.node_id WHERE n.parent_id IS NOT NULL AND u.depth < 20)
+ up AS (SELECT node_id, node_id AS ancestor_id, 0 AS depth FROM n UNION ALL SELECT u.node_id, n.parent_id, u.depth + 1 FROM up u JOIN n ON u.ancestor_id = n.node_id WHERE n.parent_id IS NOT NULL )
 SELECT node_id, ancestor_id, depth FROM up""")
 def checkpoint_lineage(t):
     node = F.col("conv_id") * 1000 + F.col("turn")
@@ -391,15 +387,16 @@ def layer_rollup(t):
     return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
 
 
-@R.add("""WITH s AS (SELECT source, count(*) AS n, sum(count(*)) OVER (ORDER BY source) AS hi FROM documents GROUP BY 1), q AS (SELECT range AS idx FROM range(0, (SELECT count(*) FROM documents), 17))
+@R.add("""WITH s AS (SELECT source, count(*) AS n, sum(count(*)) OVER (ORDER BY source) AS hi FROM documents GROUP BY 1), q AS (SELECT range AS idx FROM range(0, (SELECT count(*) FROM documents)))
 SELECT idx, source, (idx - (hi - n))::BIGINT AS local_idx FROM q JOIN s ON idx >= hi - n AND idx < hi""")
 def shard_lookup(t):
-    """Global row index to (shard, row in it) over cumulative shard sizes; the index of a shard's rows is generated, so no range join is needed."""
+    """Global row index to (shard, row in it) over cumulative shard sizes; the index of a shard's rows is generated, in
+    spans that no task holds too many of, so no range join is needed."""
     shards = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     lo = F.sum("n").over(Window.orderBy("source")) - F.col("n")
-    first = F.ceil(F.col("lo") / 17) * 17
-    rows = shards.withColumn("lo", lo).where(F.col("n") > 0).withColumn("first", first.cast("long")).where("first < lo + n")
-    return rows.select("source", "lo", F.explode(F.expr("sequence(first, lo + n - 1, bigint(17))")).alias("idx")).select("idx", "source", (F.col("idx") - F.col("lo")).alias("local_idx"))
+    rows = shards.withColumn("lo", lo).select("source", "lo", "n", F.explode(F.expr("sequence(bigint(0), n - 1, bigint(65536))")).alias("span"))
+    rows = rows.repartition("source", "span").select("source", "lo", F.explode(F.expr("sequence(span, least(span + 65536, n) - 1)")).alias("local_idx"))
+    return rows.select((F.col("lo") + F.col("local_idx")).alias("idx"), "source", "local_idx")
 
 
 @R.add("SELECT source, (row_number() OVER (ORDER BY source) - 1) % 4 AS worker FROM (SELECT DISTINCT source FROM documents)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from strandlore.functions import text as X
+from strandlore.operators.vectors import against
 from strandlore.plans.base import Registry
 
 R = Registry()
@@ -98,13 +99,13 @@ def color_unpack(t):
 @R.add(f"""WITH {_COLOR}, d AS (
   SELECT q.doc_id AS query_id, c.doc_id, (CASE WHEN q.hierarchy = c.hierarchy THEN 0 ELSE 1024 END
          + (q.r - c.r) * (q.r - c.r) + (q.g - c.g) * (q.g - c.g) + (q.b - c.b) * (q.b - c.b))::INTEGER AS distance
-  FROM packed q, packed c WHERE q.doc_id < 5)
+  FROM packed q, packed c WHERE q.doc_id % 100 = 0)
 SELECT query_id, doc_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def color_nearest(t):
-    """Five nearest colours of five stated queries; the queries are a literal array, so the table is scanned once."""
+    """Five nearest colours of every query of a stated set, in blocks."""
     colors = _colors(t).select("doc_id", "c")
-    asked = colors.where("doc_id < 5").agg(F.collect_list(F.struct(F.col("doc_id").alias("query_id"), F.col("c").alias("q"))).alias("asked"))  # five rows
-    scored = colors.join(F.broadcast(asked)).select("doc_id", "c", F.explode("asked").alias("a")).select("a.query_id", "doc_id", X.color_distance(F.col("a.q"), F.col("c")).alias("distance"))
+    asked = colors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("c").alias("q"))
+    scored = against(colors, asked, "query_id", "q").select("query_id", "doc_id", X.color_distance(F.col("q"), F.col("c")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
     return scored.withColumn("rank", rank).where("rank <= 5")
 
@@ -134,12 +135,12 @@ def lattice_place(t):
 
 
 @R.add(f"""WITH {_LATTICE}, d AS (SELECT q.doc_id AS query_id, c.doc_id, (abs(q.x - c.x) + abs(q.y - c.y) + abs(q.z - c.z))::INTEGER AS distance
-  FROM lattice q, lattice c WHERE q.doc_id < 5)
+  FROM lattice q, lattice c WHERE q.doc_id % 100 = 0)
 SELECT query_id, doc_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def lattice_nearest(t):
     points = t.documents.select("doc_id", X.lattice(F.col("text")).alias("p"))
-    asked = points.where("doc_id < 5").agg(F.collect_list(F.struct(F.col("doc_id").alias("query_id"), F.col("p").alias("q"))).alias("asked"))  # five rows
-    scored = points.join(F.broadcast(asked)).select("doc_id", "p", F.explode("asked").alias("a")).select("a.query_id", "doc_id", X.lattice_distance(F.col("a.q"), F.col("p")).alias("distance"))
+    asked = points.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("p").alias("q"))
+    scored = against(points, asked, "query_id", "q").select("query_id", "doc_id", X.lattice_distance(F.col("q"), F.col("p")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
     return scored.withColumn("rank", rank).where("rank <= 5")
 

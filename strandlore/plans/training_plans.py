@@ -26,11 +26,12 @@ def freeze_layers(t):
     return T.freeze(layers, "sim", 0.05, 0.25, "l_suppkey")
 
 
-@R.add("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND event_id % 5 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND event_id % 5 = 0)
+@R.add("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND event_id < (SELECT max(event_id) / 2 FROM events)), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND event_id >= (SELECT max(event_id) / 2 FROM events))
 SELECT user_id, 'pin' AS action FROM b ANTI JOIN a USING (user_id) UNION ALL SELECT user_id, 'unpin' FROM a ANTI JOIN b USING (user_id)""")
 def pin_window(t):
-    e = t.events.where("event_id % 5 = 0")
-    return T.pin_window(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id")
+    """From the window of the first half's views to that of the second half's clicks."""
+    e = t.events.join(F.broadcast(t.events.agg((F.max("event_id") / 2).alias("middle"))))  # one row
+    return T.pin_window(e.where("event_type = 'view' and event_id < middle"), e.where("event_type = 'click' and event_id >= middle"), "user_id")
 
 
 @R.add("""WITH e AS (SELECT event_type, user_id, count(*) AS uses, max(ts) AS last_use FROM events GROUP BY 1, 2), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100),
@@ -81,9 +82,10 @@ def export_savings(t):
     return T.export_savings(t.embeddings.where("vec_id % 120 = 7"), t.embeddings, "vec_id", "label")
 
 
-@R.add("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3")
+@R.add("SELECT conv_id, count(*) AS spans, min(turn) AS first_turn, max(turn) AS last_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
 def trace_spans(t):
-    return t.conversations.where("conv_id = 3").select("conv_id", "turn", "role")
+    """Every trace with its spans."""
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("spans"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_distinct("role").alias("roles"))
 
 
 @R.add("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, ts + INTERVAL 300 SECOND < TIMESTAMP '2024-01-15' AS expired FROM events")

@@ -34,9 +34,12 @@ def layout_fingerprint(t):
     return t.supplier.select("s_suppkey", F.sha2(F.to_json(F.array(F.col("s_suppkey"), F.col("s_nationkey").cast("long"))), 256).alias("layout"))
 
 
-@R.add("WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id < 200) SELECT DISTINCT user_id FROM events WHERE event_id BETWEEN 200 AND 260 AND user_id NOT IN (SELECT user_id FROM c)")
+@R.add("""WITH m AS (SELECT max(event_id) / 2 AS middle FROM events), c AS (SELECT DISTINCT user_id FROM events, m WHERE event_id < middle)
+SELECT DISTINCT user_id FROM events, m WHERE event_id >= middle AND user_id NOT IN (SELECT user_id FROM c WHERE user_id IS NOT NULL)""")
 def prefetch_missing(t):
-    cached, ahead = t.events.where("event_id < 200"), t.events.where("event_id between 200 and 260")
+    """What the second half of the log needs and the first didn't bring in."""
+    e = t.events.join(F.broadcast(t.events.agg((F.max("event_id") / 2).alias("middle"))))  # one row
+    cached, ahead = e.where("event_id < middle"), e.where("event_id >= middle")
     return ahead.select("user_id").distinct().join(cached.select("user_id").distinct(), "user_id", "left_anti")
 
 

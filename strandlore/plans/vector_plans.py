@@ -18,12 +18,12 @@ def _items(t):
     return t.embeddings.select(F.col("vec_id").alias("item_id"), V.wide("embedding").alias("v"), "label")
 
 
-def _queries(t, n=5):
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), V.wide("embedding").alias("q"))
+def _queries(t):
+    return t.embeddings.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), V.wide("embedding").alias("q"))
 
 
 def _top_sql(score: str, where: str = "true") -> str:
-    return f"""WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, round({score}, 6) AS score FROM e a, e b WHERE a.vec_id < 5),
+    return f"""WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, round({score}, 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id // 128 ORDER BY score DESC, item_id) AS n FROM s), f AS (SELECT * FROM r WHERE n <= 10 AND {where})
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM f QUALIFY rank <= 10"""
 
@@ -153,7 +153,7 @@ def word_freq(t):
 
 @R.add(f"WITH {_PAIRS} SELECT a, b, n FROM p")
 def pair_counts(t):
-    return bpe.pair_counts(bpe.word_counts(t.documents, "text").select("freq", bpe.byte_tokens(F.col("word")).alias("ids")))
+    return bpe.byte_pair_counts(bpe.word_counts(t.documents, "text"))
 
 
 @R.add(f"WITH {_PAIRS} SELECT a, b, n FROM p ORDER BY n DESC, a, b LIMIT 1")
