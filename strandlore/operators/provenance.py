@@ -59,10 +59,12 @@ def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     rows = df.select(key, words.alias("w")).where(F.size("w") >= n)
 
     def hashed(i):
-        gram = F.transform(F.array(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")), lambda g: F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(F.lit(1), g).alias("h2")))
+        gram = F.transform(F.array(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")), lambda g: F.concat_ws(":", F.xxhash64(g), F.xxhash64(F.lit(1), g)))
         return gram[0]
 
-    return rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), hashed))).alias("g")).select(key, "g.h1", "g.h2")
+    # strings are made distinct by hash, structs pair by pair
+    grams = rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), hashed))).alias("g"))
+    return grams.select(key, F.substring_index("g", ":", 1).cast("long").alias("h1"), F.substring_index("g", ":", -1).cast("long").alias("h2"))
 
 
 def shared_grams(docs: DataFrame, passages: DataFrame, doc_key: str, passage_key: str, text: str, n: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:

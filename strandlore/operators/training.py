@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandlore.session import cut
+
 
 def first_stop(steps: DataFrame, run: str, step: str, similarity: str, threshold: float, patience: int, every: int, at_least: int) -> DataFrame:
     """Per run the first step at which ``patience`` checks in a row were similar enough; checks are every few steps after a start."""
@@ -51,8 +53,12 @@ def flush_plan(writes: DataFrame, key: list[str], seq: str, blob: str, threshold
 
 
 def renumber(rows: DataFrame, cluster: str) -> DataFrame:
-    """Cluster numbers without gaps. The table of clusters is small; rows keep their places."""
-    ids = rows.select(cluster).distinct().withColumn("new_cluster", F.row_number().over(Window.orderBy(cluster)) - 1)
+    """Cluster numbers without gaps, by ranges of clusters: a number is the size of all ranges before and the place in its own."""
+    ids = cut(rows.select(cluster).distinct().repartitionByRange(F.col(cluster)).withColumn("_range", F.spark_partition_id()))
+    sizes = ids.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a partition
+    sizes = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(cluster)) - 1
+    ids = ids.withColumn("_place", place).join(F.broadcast(sizes), "_range").select(cluster, (F.col("_first") + F.col("_place")).alias("new_cluster"))
     return rows.join(ids, cluster)
 
 

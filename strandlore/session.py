@@ -31,11 +31,13 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; make one only where it is unset."""
+    """Use the shared folder in ``spark.checkpoint.dir``; where it is unset, make one in local mode and refuse on a cluster."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="strandlore-"))
 
 

@@ -34,16 +34,22 @@ def write_records(rows: DataFrame, path: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """The new table is written in full beside the old one before that goes; a failed write leaves the old one."""
+    """The new table is written in full beside the old one, which is moved aside and goes last; a failure leaves one of them whole."""
     spark = rows.sparkSession
     jvm = spark._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), jvm.org.apache.hadoop.fs.Path(path)
     rows.write.mode("overwrite").parquet(f"{path}.staged")
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.replaced")
     if fs.exists(old):
-        fs.delete(old, True)
+        fs.delete(aside, True)  # of an earlier call that was cut off after its own move
+        if not fs.rename(old, aside):
+            raise OSError(f"{path} could not be moved aside")
     if not fs.rename(new, old):
+        if fs.exists(aside):
+            fs.rename(aside, old)
         raise OSError(f"{path}.staged could not be moved into place")
+    fs.delete(aside, True)
 
 
 def artifacts(rows: DataFrame, name: Column, kind: Column, data: Column, level: int = 3) -> DataFrame:
