@@ -1,7 +1,8 @@
 """Structured Streaming versions of the incremental operators.
 
 Each takes a streaming (or batch) DataFrame with an event-time column and returns the transformed
-one; sinks are the caller's. State is bounded by watermarks or timeouts.
+one; sinks are the caller's. Windows, puts, heartbeats and chunks are let go by watermarks or timeouts.
+``access_counters`` and ``zero_streaks`` keep one narrow row a key for good, since a total and a streak have no end.
 """
 
 from __future__ import annotations
@@ -70,18 +71,28 @@ def heartbeats(beats: DataFrame, node: str, at: str, timeout_ms: int = 60_000, l
     return rows.groupBy(node).applyInPandasWithState(step, f"{node} {kind}, status string, last_ms long", "last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def chunk_accumulator(data: DataFrame, key: str, order: str, payload: str, size: int) -> DataFrame:
-    """Emits a chunk whenever ``size`` bytes have come together; the rest waits in the state."""
+def chunk_accumulator(data: DataFrame, key: str, order: str, payload: str, size: int, at: str, idle_ms: int = 60_000, late: str = "0 seconds") -> DataFrame:
+    """Emits a chunk whenever ``size`` bytes have come together; the rest waits in the state, and is the last chunk
+    of a key for which nothing came until the watermark was ``idle_ms`` past its last row."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, rest = state.get if state.exists else (0, b"")
-        buffer = bytes(rest) + b"".join(pd.concat(list(parts)).sort_values(order, kind="stable")[payload])
+        number, rest, last = state.get if state.exists else (0, b"", 0)
+        if state.hasTimedOut:
+            state.remove()
+            if rest:
+                yield pd.DataFrame({key: [k[0]], "ordinal": [number], "chunk": [bytes(rest)]})
+            return
+        parts = list(parts)
+        last = max([last, *(int(p[at].max().timestamp() * 1000) for p in parts)])
+        buffer = bytes(rest) + b"".join(pd.concat(parts).sort_values(order, kind="stable")[payload])
         full = len(buffer) // size
-        state.update((number + full, buffer[full * size :]))
+        state.update((number + full, buffer[full * size :], last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * full, "ordinal": list(range(number, number + full)), "chunk": [buffer[i * size : (i + 1) * size] for i in range(full)]})
 
     kind = dict(data.dtypes)[key]
-    return data.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ordinal long, chunk binary", "number long, rest binary", "append", GroupStateTimeout.NoTimeout)
+    rows = timed(data, at, late).select(key, order, payload, at)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ordinal long, chunk binary", "number long, rest binary, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flush_latest(updates: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str, trigger: dict | None = None):

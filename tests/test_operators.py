@@ -181,3 +181,37 @@ def test_lineage_reaches_the_root(spark):
     assert got == {(i, i - d, d) for i in range(150) for d in range(i + 1)} | {(900, 900, 0), (900, 901, 1)}
     with pytest.raises(ValueError, match="cycle"):
         history.chain(spark.createDataFrame([(1, 2), (2, 1)], "node_id long, parent_id long"))
+
+
+def test_word_grams_of_a_long_text(spark):
+    import time
+
+    began = time.monotonic()
+    rows = spark.createDataFrame([(1, " ".join(f"w{i % 60_000}" for i in range(100_000)))], "doc_id long, text string")
+    from strandlore.operators import provenance
+
+    assert provenance.word_grams(rows, "doc_id", "text", 13).count() == 60_000 and time.monotonic() - began < 60
+
+
+def test_renumber_over_many_ranges(spark):
+    from strandlore.operators import training
+
+    rows = spark.range(0, 5000).selectExpr("id * 3 as c").repartition(7)
+    got = {r.c: r.new_cluster for r in training.renumber(rows.union(rows), "c").collect()}
+    assert got == {3 * i: i for i in range(5000)}
+
+
+def test_queries_meet_all_rows_in_blocks(spark, monkeypatch):
+    from strandlore.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    met = vectors.against(spark.range(0, 50).selectExpr("id", "id as x"), spark.range(0, 21).selectExpr("id as query_id", "id as q"), "query_id", "q")
+    assert met.columns == ["id", "x", "query_id", "q"]
+    assert {(r.id, r.query_id) for r in met.collect()} == {(i, q) for i in range(50) for q in range(21)} and met.count() == 50 * 21
+
+
+def test_idle_steps(spark):
+    from strandlore.operators import lifecycle
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 4), ("b", 3), ("b", 3)], "k string, day int")
+    assert {(r.k, r.streak, r.prune) for r in lifecycle.idle_steps(rows, "k", "day", 2).collect()} == {("a", 2, True), ("b", 1, False), ("c", 0, False)}

@@ -54,3 +54,11 @@ def test_silhouette_and_compact(spark):
     assert C.silhouette(rows.where("c = 0"), "id", "c", "v") is None
     members = C.build(rows, V.centroids(rows, "c", "v"), "id", "c", "v")
     assert all(len(r.codes) == 2 and r.scale > 0 for r in C.compact(members, "c", "id").collect())
+
+
+def test_replace_swaps_tables(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for n in (3, 5):
+        sinks.replace(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["table"]

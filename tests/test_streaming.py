@@ -1,5 +1,7 @@
 """Streaming operators give what the batch ones give, over two micro-batches."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,12 +80,14 @@ def test_heartbeats_time_out(spark, tmp_path):
 
 
 def test_chunk_accumulator(spark, tmp_path):
-    path = str(tmp_path / "data")
-    for rows in ([("k", 1, b"abcdefg"), ("j", 1, b"xy")], [("k", 2, b"hij")]):
-        spark.createDataFrame(rows, "k string, n int, data binary").coalesce(1).write.mode("append").parquet(path)
-    data = spark.readStream.schema("k string, n int, data binary").option("maxFilesPerTrigger", 1).parquet(path)
-    out = run(spark, S.chunk_accumulator(data, "k", "n", "data", 3), "append", tmp_path, "chunks").collect()
-    assert sorted((r.k, r.ordinal, bytes(r.chunk)) for r in out) == [("k", 0, b"abc"), ("k", 1, b"def"), ("k", 2, b"ghi")]
+    path, kind = str(tmp_path / "data"), "k string, n int, data binary, ts timestamp"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    for rows in ([("k", 1, b"abcdefg", at(0)), ("j", 1, b"xy", at(0))], [("k", 2, b"hij", at(1))], [("z", 1, b"012", at(9))], [("z", 2, b"345", at(20))], [("z", 3, b"", at(30))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    data = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    out = run(spark, S.chunk_accumulator(data, "k", "n", "data", 3, "ts"), "append", tmp_path, "chunks").collect()
+    whole = {k: b"".join(bytes(r.chunk) for r in sorted(out, key=lambda r: r.ordinal) if r.k == k) for k in "jkz"}
+    assert whole == {"k": b"abcdefghij", "j": b"xy", "z": b"012345"} and all(len(r.chunk) <= 3 for r in out)
 
 
 def test_flush_latest(spark, halves, tmp_path):
