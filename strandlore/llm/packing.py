@@ -8,8 +8,9 @@ pieces, as attention has it) among those with room for it. A tail that fits nowh
 The capacities of a bucket's sequences add up to its ids exactly: full sequences, then the powers of
 two of the remainder, so nothing is padded.
 
-Defined cases: a null or empty text has the one id EOS; equal rows are packed one after the other;
-an empty table gives an empty table. The tokenizer file is a parameter, read by the executors.
+Defined cases: a null or empty text has the one id EOS; equal rows are packed by themselves, in any buckets;
+a very long text gives full pieces as soon as it is tokenised; only doc_id and the text are read, whatever other columns
+are called; an empty table gives an empty table. The tokenizer file is a parameter, read by the executors.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ NO_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 #: Cost of a piece of n ids: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
-PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, nth long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,22 +89,25 @@ def _encoder(path: str) -> WordIds:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, eos: int = EOS) -> DataFrame:
-    """Pieces of every document: full ones as their CRC, the tail with its ids. No shuffle."""
+    """Pieces of every document: full ones as their CRC, the tail with its ids, and the row's number in its partition,
+    which spreads rows that repeat one doc_id. No shuffle."""
     small_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, step = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), 4 * sequence
+        nth = 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), (words.encode(t or "") for t in batch["text"].to_pylist()), strict=True):
                 ids += end
+                nth += 1
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     full = len(part) == step
-                    row = (doc_id, len(ids) // 4, at // 4, len(part) // 4, zlib.crc32(part), None if full else part)
+                    row = (doc_id, len(ids) // 4, at // 4, len(part) // 4, zlib.crc32(part), None if full else part, nth)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            types = [pa.int64()] * 5 + [pa.binary()]
+            types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
@@ -139,7 +143,7 @@ def balance(lengths: list[int], sequence: int = SEQUENCE) -> list[list[tuple[int
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, eos: int = EOS, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Every id of every document in one piece of one sequence."""
     buckets = max(1, math.ceil(docs.count() / bucket_docs))
-    pieces = tokenise(docs, tokenizer, sequence, eos).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    pieces = tokenise(docs, tokenizer, sequence, eos).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "nth"), F.lit(buckets))).drop("nth")
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         base = int(key[0]) << 32
