@@ -13,7 +13,8 @@ most 64 siblings (size classes: a few hundred) and only the last step numbers th
 
 Defined cases: null text has size 0 and is never emitted; a null source is a source of its own,
 after all others; equal rows are numbered one after the other, so that of m equal rows any may be
-the one that is emitted; an empty table gives an empty table.
+the one that is emitted; a very long text is one size class like any other; columns of the input whose names clash with
+working columns are kept apart in one struct; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Law ``rows``: a shard's load is bounded by its part of the row count, rounded up
 plain ring would give them, and those go to the next one clockwise.
 
 Defined cases: null text has 8 bytes and the CRC of nothing (0); null and repeated doc_ids hash
-like any other value; equal rows take neighbouring places; an empty table gives an empty table.
+like any other value; equal rows take neighbouring places; texts of any length count by their bytes; only doc_id and the
+text are read, whatever other columns are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations

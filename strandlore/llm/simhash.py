@@ -12,8 +12,8 @@ a star for each component among them, at most one row a member, not its pairs; o
 into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: a text without words (or null) has fingerprint zero and is linked like any other; a
-component whose rows have no doc_id has none; equal rows are one another's copies; an empty table
-gives an empty table.
+component whose rows have no doc_id has none; equal rows are one another's copies; a very long text is hashed in parts of
+CHUNK shingles; only doc_id and the text are read, whatever other columns are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations

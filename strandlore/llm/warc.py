@@ -5,12 +5,14 @@ chunk number, bytes) of at most CHUNK payload bytes, so neither writer nor reade
 whole record: a payload of any size streams through in chunks, and each chunk carries the SHA-1 of
 the payload up to its end, so damage is found at the chunk where it lies.
 
-Equal payloads of at least MIN_DUPLICATE bytes are stored once, in the record of the largest
-page_id; the others become ``revisit`` records (profile identical-payload-digest) without a body.
+Equal payloads of at least MIN_DUPLICATE bytes (by SHA-1, length and a second hash) are stored once, in the record of
+the largest page_id; the others become ``revisit`` records (profile identical-payload-digest) without a body. Every
+record has an id of its own; that of a response which others revisit follows from its page and payload.
 
 Defined cases: null html is an empty payload; rows that tie at the largest page_id of equal payloads
-are all responses; a page without page_id revisits one that has it, and is a response if none has;
-an empty table gives an empty archive, which reads back as an empty table.
+are all responses, and what revisits them names the page and no record; a page without page_id revisits one that has
+it, and is a response if none has; a very long payload streams in chunks; only page_id, url and html are read, whatever
+other columns are called; an empty table gives an empty archive, which reads back as an empty table.
 """
 
 from __future__ import annotations
@@ -35,31 +37,30 @@ def with_record_types(pages: DataFrame, url: str = "url") -> DataFrame:
     """Digest, length and record type of each page; only digests that occur twice meet the pages again."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(
-        "page_id", F.col(url).alias("url"), body.alias("_body"), F.sha1(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes")
+        "page_id", F.col(url).alias("url"), body.alias("_body"), F.sha1(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"), F.xxhash64(body).alias("_check")
     )
-    twice = cut(
-        rows.where(F.col("_bytes") >= MIN_DUPLICATE)
-        .groupBy("_digest")
-        .agg(F.count("*").alias("_n"), F.max("page_id").alias("_keeper"))
-        .where("_n > 1")
-        .drop("_n")
-    )
-    joined = lookup_join(rows, twice, ["_digest"], F.col("page_id"), twice.count())
+    same = ["_digest", "_bytes", "_check"]
+    ids = rows.where(F.col("_bytes") >= MIN_DUPLICATE).groupBy(*same, "page_id").agg(F.count("*").alias("_n"))
+    # null page_ids come before all others
+    last = ids.groupBy(*same).agg(F.sum("_n").alias("_all"), F.max(F.struct("page_id", "_n")).alias("_last")).where("_all > 1")
+    twice = cut(last.select(*same, F.col("_last.page_id").alias("_keeper"), (F.col("_last._n") == 1).alias("_alone")))
+    joined = lookup_join(rows, twice, same, F.col("page_id"), twice.count())
+    kept = F.coalesce(F.col("_alone") & (F.col("page_id") == F.col("_keeper")), F.lit(False))
     other = F.col("_keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_keeper"))) & (F.col("_bytes") >= MIN_DUPLICATE)
-    return joined.select("page_id", "url", "_body", "_digest", "_bytes", F.when(other, F.col("_keeper")).alias("_refers"))
+    return joined.select("page_id", "url", "_body", "_digest", "_bytes", F.when(other, F.col("_keeper")).alias("_refers"), F.when(other, F.col("_alone")).alias("_named"), kept.alias("_kept"))
 
 
-def _urn(page_id: int | None) -> str:
-    d = hashlib.md5(f"page:{page_id}".encode()).hexdigest()
-    return f"<urn:uuid:{d[:8]}-{d[8:12]}-{d[12:16]}-{d[16:20]}-{d[20:]}>"
+def _uuid(page_id: int, digest: str) -> str:
+    d = hashlib.md5(f"page:{page_id}:{digest}".encode()).hexdigest()
+    return f"{d[:8]}-{d[8:12]}-{d[12:16]}-{d[16:20]}-{d[20:]}"
 
 
-def _head(page_id: int | None, url: str | None, digest: str, size: int, refers: int | None) -> bytes:
+def _head(record: str, page_id: int | None, url: str | None, digest: str, size: int, refers: int | None, named: bool | None) -> bytes:
     """WARC and HTTP headers of a record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = [
         ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", _urn(page_id)),
+        ("WARC-Record-ID", f"<urn:uuid:{record}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
@@ -70,7 +71,9 @@ def _head(page_id: int | None, url: str | None, digest: str, size: int, refers:
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if refers is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers)), ("X-Refers-To-Page-Id", str(refers))]
+        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers))]
+    if named:
+        fields.append(("WARC-Refers-To", f"<urn:uuid:{_uuid(refers, digest)}>"))
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + http
 
 
@@ -84,7 +87,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["_no"] == 0:
                 running = hashlib.sha1()
             running.update(part)
-            head = _head(r["page_id"], r["url"], r["_digest"], r["_bytes"], r["_refers"]) if r["_no"] == 0 else b""
+            head = b""
+            if r["_no"] == 0:
+                record = _uuid(r["page_id"], r["_digest"]) if r["_kept"] else r["_record"]
+                head = _head(record, r["page_id"], r["url"], r["_digest"], r["_bytes"], r["_refers"], r["_named"])
             tail = b"\r\n\r\n" if r["_no"] == r["_chunks"] - 1 else b""
             for name, value in zip(out, (r["_record"], r["_no"], head + part + tail, running.hexdigest()), strict=True):
                 out[name].append(value)
@@ -97,9 +103,10 @@ def encode_archive(pages: DataFrame, url: str = "url") -> DataFrame:
     stored = F.when(F.col("_refers").isNull(), F.col("_body")).otherwise(F.lit(b""))
     rows = with_record_types(pages, url).withColumn("_record", F.expr("uuid()")).withColumn("_body", stored)
     rows = rows.withColumn("_chunks", F.greatest(F.ceil(F.octet_length("_body") / F.lit(CHUNK)), F.lit(1)).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda i: F.substring(F.col("_body"), i * CHUNK + 1, F.lit(CHUNK)))
-    cols = ["page_id", "url", "_digest", "_bytes", "_refers", "_record", "_chunks"]
-    return rows.select(*cols, F.posexplode(parts).alias("_no", "_part")).mapInArrow(_encode, ARCHIVE)
+    cols = ["page_id", "url", "_digest", "_bytes", "_refers", "_named", "_kept", "_record", "_chunks"]
+    # numbers first: the parts of a payload are never in memory together
+    rows = rows.withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    return rows.select(*cols, "_no", F.substring("_body", F.col("_no") * CHUNK + 1, F.lit(CHUNK)).alias("_part")).mapInArrow(_encode, ARCHIVE)
 
 
 class _Record:

@@ -97,6 +97,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_warc_record_ids_are_unique(spark):
+    body, other = "b" * 2000, "c" * 2000
+    rows = [(1, "u", body), (2, "u", body), (3, "u", other), (3, "u", other), (1, "u", other), (None, "u", "x"), (None, "u", "x"), (7, "u", "x"), (7, "u", "x")]
+    heads = [bytes(r.data).split(b"\r\n\r\n")[0].decode() for r in warc.encode_archive(pages(spark, [(*r, "x", 1) for r in rows])).where("chunk_no = 0").collect()]
+    fields = [dict(line.split(": ", 1) for line in h.split("\r\n")[1:]) for h in heads]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == len(rows)
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert sorted(f["X-Page-Id"] for f in revisits) == ["1", "1"]
+    for f in revisits:
+        if f["X-Refers-To-Page-Id"] == "2":
+            assert ids[f["WARC-Refers-To"]]["X-Page-Id"] == "2" and ids[f["WARC-Refers-To"]]["WARC-Type"] == "response"
+        else:
+            assert "WARC-Refers-To" not in f  # two records tie
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    rows = packing.pack(docs(spark, [(7, "a b c", "en", "s")] * 300 + [(None, "a b c", "en", "s")] * 300), tokenizer_path(), bucket_docs=32).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 10 and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+
+
 def test_warc_chunks_and_damage(spark):
     archive = warc.encode_archive(pages(spark, [(1, "u", "z" * 300_000, "x", 1)])).collect()
     assert [r.chunk_no for r in archive] == list(range(5)) and max(len(r.data) for r in archive) < warc.CHUNK + 2000
