@@ -180,6 +180,12 @@ def lattice(text: Column, layer: int = 0) -> Column:
     return let(facts, made)
 
 
+def lattice_packed(p: Column) -> Column:
+    """One integer whose order keeps near points together: layer, then x, y and z, 16 bits each."""
+    part = lambda k, bits: F.shiftleft((p[k] + 32768).cast("long"), bits)
+    return F.shiftleft(p["layer"].cast("long"), 48) + part("x", 32) + part("y", 16) + part("z", 0)
+
+
 def lattice_distance(a: Column, b: Column) -> Column:
     apart = lambda k: F.abs(a[k] - b[k])
     return apart("x") + apart("y") + apart("z") + F.when(a["layer"] == b["layer"], 0).otherwise(256)

@@ -58,5 +58,16 @@ def reassemble(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("payload"))
 
 
+def reassemble_checked(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, payload, intact): chunks with ``blob_id`` and ``chunk_length`` are held against both, offsets must join;
+    a payload with a chunk that fails is null."""
+    sound = (blob_id("chunk") == F.col("blob_id")) & (F.length("chunk") == F.col("chunk_length"))
+    rows = chunks.withColumn("_sound", sound)
+    facts = F.bool_and("_sound") & (F.sum("chunk_length") == F.max(F.col("chunk_offset") + F.col("chunk_length")))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
+    whole = rows.groupBy(key).agg(facts.alias("intact"), F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("payload"))
+    return whole.select(key, F.when(F.col("intact"), F.col("payload")).alias("payload"), "intact")
+
+
 def inline_or_chunked(length: Column, threshold: int = 256 * 1024) -> Column:
     return F.when(length <= threshold, "inline").otherwise("chunked")

@@ -19,6 +19,12 @@ def lineage_digest(edges: DataFrame, origin: str, edge_id: str, kind: Column, cu
     return rows.groupBy(origin).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"), F.count("*").alias("n_edges"))
 
 
+def verify_proofs(shares: DataFrame, edges: DataFrame, origin: str, edge_id: str, kind: Column, cutoff: Column | None = None) -> DataFrame:
+    """(origin, valid): is the ``proof`` that a share recorded the digest of its origin's edges before the cutoff?"""
+    now = lineage_digest(edges, origin, edge_id, kind, cutoff)
+    return shares.join(now, origin, "left").select(origin, F.coalesce(F.col("proof") == F.col("digest"), F.lit(False)).alias("valid"))
+
+
 def chain(nodes: DataFrame) -> DataFrame:
     """Whole parent chains of ``nodes`` (node_id, parent_id), up to the roots: (node_id, ancestor_id, depth).
 

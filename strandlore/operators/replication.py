@@ -35,7 +35,7 @@ def least_loaded(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min(F.struct(utilization(F.col("used_gb"), F.col("capacity_gb")).alias("utilization"), "node_id")).alias("n")).select("n.node_id", "n.utilization")
 
 
-def placements(needs: DataFrame, replicas: DataFrame, nodes: DataFrame, preferred_region: str, most_nodes: int = 64) -> DataFrame:
+def placements(needs: DataFrame, replicas: DataFrame, nodes: DataFrame, preferred_region: str) -> DataFrame:
     """For each blob the ``missing`` best nodes that don't hold it: preferred region first, then emptiest.
 
     Node candidates per blob: a blob has at most ``held`` holders, so its targets are among the first
@@ -51,6 +51,23 @@ def placements(needs: DataFrame, replicas: DataFrame, nodes: DataFrame, preferre
     return free.withColumn("choice", F.row_number().over(pick)).where("choice <= missing").select("blob_id", "node_id", "choice")
 
 
+def repair_steps(needs: DataFrame, replicas: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(blob_id, source_id, node_id, step): which node copies to which, for each of the ``missing`` replicas.
+
+    The source is the first node, in the order of ids, that holds the blob in any state; targets are the first ones that
+    have no healthy replica. As in ``placements``, a blob meets a prefix of the one ranking, not the table of nodes.
+    """
+    ranked = nodes.select("node_id").withColumn("node_rank", F.row_number().over(Window.orderBy("node_id")))
+    source = replicas.groupBy("blob_id").agg(F.min("node_id").alias("source_id"))
+    healthy = replicas.where("state = 'healthy'").select("blob_id", "node_id").distinct()
+    held = healthy.groupBy("blob_id").agg(F.count("*").alias("_held"))
+    wanted = needs.join(source, "blob_id").join(held, "blob_id", "left")
+    wanted = wanted.withColumn("node_rank", F.explode(F.sequence(F.lit(1), (F.coalesce("_held", F.lit(0)) + F.col("missing")).cast("int"))))
+    free = wanted.join(ranked, "node_rank").join(healthy, ["blob_id", "node_id"], "left_anti")
+    step = F.row_number().over(Window.partitionBy("blob_id").orderBy("node_rank"))
+    return free.withColumn("step", step).where("step <= missing").select("blob_id", "source_id", "node_id", "step")
+
+
 def quorum(acks: DataFrame, key: str, wanted: int) -> DataFrame:
     return acks.groupBy(key).agg(F.count_distinct("node_id").alias("acks")).withColumn("committed", F.col("acks") >= wanted)
 
