@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -157,19 +158,30 @@ def zstd_sizes(df: DataFrame, key: str, text: str, level: int = 3) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("data")).mapInArrow(run, f"key {kind}, raw_bytes long, stored_bytes long, intact boolean").withColumnRenamed("key", key)
 
 
+# A token's vector is normal noise, drawn by the legacy generator from a seed of 31 bits of its digest.
+DIGEST_BYTES, SEED_MASK = 8, 0x7FFFFFFF
+#: Token vectors that a worker remembers.
+TOKENS_KEPT = 50_000
+
+
+def token_vector(token: str, dims: int) -> np.ndarray:
+    digest = hashlib.blake2b(token.encode(), digest_size=DIGEST_BYTES).digest()
+    return np.random.RandomState(int.from_bytes(digest, "little") & SEED_MASK).normal(size=dims).astype(np.float32)
+
+
 def text_embedding(text: str, dims: int, known: dict | None = None) -> np.ndarray:
-    """Sum of one seeded normal vector per token, scaled to unit length."""
-    total = np.zeros(dims, np.float32)
-    for token in text.lower().split():
-        vector = None if known is None else known.get(token)
-        if vector is None:
-            seed = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little") & 0x7FFFFFFF
-            vector = np.random.RandomState(seed).normal(0.0, 1.0, size=dims).astype(np.float32)
-            if known is not None and len(known) < 50_000:
-                known[token] = vector
-        total += vector
-    size = np.linalg.norm(total)
-    return total / size if size > 0 else total
+    """Unit vector along the sum of the token vectors, each as often as its token occurs: one product of counts and vectors."""
+    known = {} if known is None else known
+    counts = Counter(text.lower().split())
+    if not counts:
+        return np.zeros(dims, np.float32)
+    vectors = np.stack([known.get(token) if token in known else token_vector(token, dims) for token in counts])
+    for token, vector in zip(counts, vectors, strict=True):
+        if len(known) < TOKENS_KEPT:
+            known.setdefault(token, vector)
+    along = np.array(list(counts.values()), np.float32) @ vectors
+    size = np.linalg.norm(along)
+    return along / size if size > 0 else along
 
 
 def embed_texts(df: DataFrame, key: str, text: str, dims: int = 32) -> DataFrame:
