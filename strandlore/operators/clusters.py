@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandlore.operators import codecs, vectors as V
+from strandlore.session import cut
 
 
 def build(rows: DataFrame, centres: DataFrame, key: str, cluster: str, v: str) -> DataFrame:
@@ -28,35 +29,56 @@ def fit_on_sample(rows: DataFrame, key: str, v: str, k: int, sample: int, steps:
     return centres, V.assign(rows, centres, key, v, "cluster")
 
 
-def adapt(rows: DataFrame, key: str, v: str, k: int, split_ratio: float = 5.0, merge_ratio: float = 1.5, steps: int = 8):
-    """Splits the largest cluster while sizes are far apart and merges the two smallest while they are too alike.
+def split(rows: DataFrame, key: str, v: str, mean: list[float]) -> tuple[list[list[float]], DataFrame] | None:
+    """Two centres and each member's side (key, nearest): 2-means that starts from the member farthest from the mean
+    and the one farthest from that. None if all members are equal."""
+    farthest = lambda m: rows.select(wide_v.alias("x"), V.squared_distance(wide_v, F.array(*[F.lit(float(y)) for y in m])).alias("d"), key).orderBy(F.desc("d"), key).first()
+    wide_v = V.wide(v)
+    first = farthest(mean)
+    second = farthest(first["x"])
+    if not second["d"]:
+        return None
+    centres, sides = V.lloyd(rows, key, v, 2, 8, start=[list(first["x"]), list(second["x"])])
+    return [list(r["centroid"]) for r in centres.orderBy("cluster").collect()], sides.select(key, "nearest")
+
+
+def adapt(rows: DataFrame, key: str, v: str, k: int | None = None, split_ratio: float = 5.0, merge_ratio: float = 1.5, steps: int = 8):
+    """Splits the largest cluster by 2-means while sizes are far apart, and gives the smallest one to its nearest neighbour
+    while they are too alike; starts from k clusters, round(sqrt(rows)) if none is said.
 
-    Only sizes and centres, k of them, come to the driver; a cluster splits along its component of largest variance.
+    Only sizes and centres, one a cluster, come to the driver; a step relabels the members of one cluster.
     """
     spark = rows.sparkSession
+    k = k or max(2, round(rows.count() ** 0.5))
     centres, placed = V.lloyd(rows, key, v, k, 10)
+    means = {r["cluster"]: list(r["centroid"]) for r in centres.collect()}
+    placed = cut(placed.select(key, F.col("nearest").cast("int").alias("nearest")))
     for _ in range(steps):
         sizes = {r["nearest"]: r["count"] for r in placed.groupBy("nearest").count().collect()}
-        means = {r["cluster"]: list(r["centroid"]) for r in centres.collect() if sizes.get(r["cluster"])}
-        ordered = sorted(sizes, key=lambda c: (sizes[c], c))
-        ratio = sizes[ordered[-1]] / max(1, sizes[ordered[0]])
+        means = {c: means[c] for c in sizes}
+        small, big = min(sizes, key=lambda c: (sizes[c], c)), max(sizes, key=lambda c: (sizes[c], -c))
+        ratio = sizes[big] / max(1, sizes[small])
         if ratio > split_ratio:
-            big = ordered[-1]
-            inside = placed.where(F.col("nearest") == big).join(rows, key).select(F.posexplode(V.wide(v)).alias("i", "x"))
-            spread = inside.groupBy("i").agg(F.stddev_pop("x").alias("s")).orderBy(F.desc("s"), "i").first()
-            if not spread["s"]:
+            found = split(rows.join(placed.where(F.col("nearest") == big).select(key), key), key, v, means[big])
+            if found is None:
                 break
-            shifted = lambda by: [x + by * (j == spread["i"]) for j, x in enumerate(means[big])]  # noqa: B023, E731
-            means[big], means[max(means) + 1] = shifted(-spread["s"]), shifted(spread["s"])
-        elif ratio < merge_ratio and len(ordered) > 1:
-            a, b = ordered[:2]
-            n, m = sizes[a], sizes[b]
-            means[a] = [(x * n + y * m) / (n + m) for x, y in zip(means[a], means.pop(b), strict=True)]
+            new = max(means) + 1
+            means[big], means[new] = found[0]
+            label = F.when(F.col("_side") == 1, F.lit(new)).otherwise(F.col("nearest"))
+            placed = cut(placed.join(found[1].withColumnRenamed("nearest", "_side"), key, "left").select(key, label.alias("nearest")))
+        elif ratio < merge_ratio and len(sizes) > 2:
+            near = min((c for c in means if c != small), key=lambda c: (sum((x - y) ** 2 for x, y in zip(means[c], means[small], strict=True)), c))
+            n, m = sizes[near], sizes[small]
+            means[near] = [(x * n + y * m) / (n + m) for x, y in zip(means[near], means.pop(small), strict=True)]
+            placed = cut(placed.withColumn("nearest", F.when(F.col("nearest") == small, F.lit(near)).otherwise(F.col("nearest"))))
         else:
             break
-        centres = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(sorted(means.items()))], "cluster int, centroid array<double>")
-        placed = V.assign(rows, centres, key, v, "cluster")
-    return centres, placed
+    order = sorted(means)
+    centres = spark.createDataFrame([(i, means[c]) for i, c in enumerate(order)], "cluster int, centroid array<double>")
+    names = spark.createDataFrame(list(enumerate(order)), "_new int, nearest int")
+    placed = placed.join(F.broadcast(names), "nearest").select(key, F.col("_new").alias("nearest")).join(rows.select(key, v), key)  # a row a cluster
+    far = placed.join(F.broadcast(centres), placed["nearest"] == centres["cluster"])
+    return centres, far.select(key, "nearest", V.squared_distance(V.wide(v), F.col("centroid")).alias("distance"))
 
 
 def silhouette(rows: DataFrame, key: str, cluster: str, v: str, sample: int = 2048) -> float | None:

@@ -86,11 +86,13 @@ def assign(rows: DataFrame, centres: DataFrame, key: str, v: str, cluster: str)
     return rows.select(key, F.col("_best.c").alias("nearest"), F.col("_best.d").alias("distance"))
 
 
-def lloyd(rows: DataFrame, key: str, v: str, k: int, steps: int, seed: int = 42, tolerance: float = 1e-6):
-    """Lloyd's k-means: centres start at the k rows of smallest hash. (centres, assignments). k is small, so centres pass through the driver."""
+def lloyd(rows: DataFrame, key: str, v: str, k: int, steps: int, seed: int = 42, tolerance: float = 1e-6, start: list[list[float]] | None = None):
+    """Lloyd's k-means: centres start at ``start``, or at the k rows of smallest hash. (centres, assignments). k is small, so centres pass through the driver."""
     spark = rows.sparkSession
-    start = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).select(wide(v).alias("centroid")).collect()
-    centres = [(i, list(r["centroid"])) for i, r in enumerate(start)]
+    if start is None:
+        chosen = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).select(wide(v).alias("centroid")).collect()
+        start = [list(r["centroid"]) for r in chosen]
+    centres = list(enumerate(start))
     for _ in range(steps):
         frame = spark.createDataFrame(centres, "cluster int, centroid array<double>")
         placed = assign(rows, frame, key, v, "cluster").join(rows.select(key, v), key)

@@ -62,3 +62,15 @@ def test_replace_swaps_tables(spark, tmp_path):
         sinks.replace(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
     assert sorted(p.name for p in tmp_path.iterdir()) == ["table"]
+
+
+def test_split_and_merge_follow_the_shape(spark):
+    """A cluster of two far halves is split between them; of clusters alike the smallest goes to its neighbour."""
+    rows = spark.createDataFrame([(i, [float(10 * (i % 2)), 0.1 * (i % 7)]) for i in range(200)], "id long, v array<double>")
+    centres, sides = C.split(rows, "id", "v", [5.0, 0.3])
+    of = {r.id: r.nearest for r in sides.collect()}
+    assert {of[i] for i in of if i % 2} != {of[i] for i in of if i % 2 == 0} and len(set(of.values())) == 2 and sorted(round(c[0]) for c in centres) == [0, 10]
+    assert C.split(rows.where("id % 14 = 0"), "id", "v", [0.0, 0.0]) is None
+    alike = spark.createDataFrame([(i, [float(5 * (i % 3))]) for i in range(30)], "id long, v array<double>")
+    centres, placed = C.adapt(alike, "id", "v", merge_ratio=1.5, steps=1)
+    assert centres.count() <= round(30**0.5) and placed.count() == 30
