@@ -11,7 +11,7 @@ from strandlore.llm import langid
 from strandlore.llm.queries import tokenizer_path
 
 from test_free_ops import plain_similar
-from test_native_ops import base, plain_report, waterfill
+from test_native_ops import base, docs, plain_report, waterfill
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term-generalised": "[TERM]", "term-removed": ""}
@@ -105,3 +105,21 @@ def test_run_equals_the_stages(spark, sf, stages):
 def test_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null texts, ids and sources, repeated ids and rows, and columns whose names the operators use themselves."""
+    english = "the dog and the cat are going home and the sun is over the hill of the town "
+    other = "over the town the sun and the hill are home to the cat of the dog and going is the end of the day"
+    rows = [(i, f"{english} number {i} and {i * 7} of {i * 31} more", "en", "s1") for i in range(40)]
+    rows += [(5, english * 3, "en", None), (5, "another " + english * 2, "en", "s2"), (None, other, "en", "s2"), (None, other, "en", "s2"), (7, None, None, None), (8, "", "en", "s1"), (None, None, None, None)]
+    docs_ = docs(spark, rows)
+    seen = docs_
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, sf).cache()
+        assert seen.columns == docs_.columns, name
+        if name == "simhash_dedup":
+            kept = sorted((r.doc_id or 0, r.text) for r in seen.collect())
+            assert len(kept) == len(set(kept)) and len([k for k in kept if k[0] == 5]) >= 2 and (0, other) in kept
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf).collect()
+    assert sum(r.doc_tokens for r in packed if r.start == 0) == sum(r.length for r in packed) > 0
