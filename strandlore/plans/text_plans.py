@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from strandlore.functions import text as X
+from strandlore.operators.points import nearest
 from strandlore.operators.vectors import against
 from strandlore.plans.base import Registry
 
@@ -102,12 +103,10 @@ def color_unpack(t):
   FROM packed q, packed c WHERE q.doc_id % 100 = 0)
 SELECT query_id, doc_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def color_nearest(t):
-    """Five nearest colours of every query of a stated set, in blocks."""
-    colors = _colors(t).select("doc_id", "c")
-    asked = colors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("c").alias("q"))
-    scored = against(colors, asked, "query_id", "q").select("query_id", "doc_id", X.color_distance(F.col("q"), F.col("c")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-    return scored.withColumn("rank", rank).where("rank <= 5")
+    """Five nearest colours of every query of a stated set, by cells of the colour space."""
+    colors = _colors(t).select(F.col("doc_id").alias("item_id"), F.col("c").alias("p"))
+    found = nearest(colors, F.col("item_id") % 100 == 0, 5, X.color_distance, ["r", "g", "b"], "hierarchy", 0, 8, 2)
+    return found.withColumnRenamed("item_id", "doc_id")
 
 
 @R.add(f"""WITH {_COLOR}, u AS (SELECT doc_id, r / 255.0::DOUBLE AS rf, g / 255.0::DOUBLE AS gf, b / 255.0::DOUBLE AS bf FROM packed),
