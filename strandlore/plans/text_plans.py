@@ -6,7 +6,6 @@ from pyspark.sql import Window, functions as F
 
 from strandlore.functions import text as X
 from strandlore.operators.points import nearest
-from strandlore.operators.vectors import against
 from strandlore.plans.base import Registry
 
 R = Registry()
@@ -137,11 +136,10 @@ def lattice_place(t):
   FROM lattice q, lattice c WHERE q.doc_id % 100 = 0)
 SELECT query_id, doc_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def lattice_nearest(t):
-    points = t.documents.select("doc_id", X.lattice(F.col("text")).alias("p"))
-    asked = points.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("p").alias("q"))
-    scored = against(points, asked, "query_id", "q").select("query_id", "doc_id", X.lattice_distance(F.col("q"), F.col("p")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-    return scored.withColumn("rank", rank).where("rank <= 5")
+    """Five nearest lattice points of every query of a stated set, by cells of the lattice."""
+    points = t.documents.select(F.col("doc_id").alias("item_id"), X.lattice(F.col("text")).alias("p"))
+    found = nearest(points, F.col("item_id") % 100 == 0, 5, X.lattice_distance, ["x", "y", "z"], "layer", -1024, 11, 1)
+    return found.withColumnRenamed("item_id", "doc_id")
 
 
 def _route_sql(source: str, key: str, text: str) -> str:
