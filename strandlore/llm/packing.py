@@ -30,8 +30,8 @@ from strandlore.llm.common import small_batches
 SEQUENCE, EOS = 2048, 1
 #: Documents of a bucket; the ids in flight in one packing call are at most this times SEQUENCE.
 BUCKET_DOCS = 1024
-#: Words that a worker remembers, and the longest word it remembers.
-WORDS_KEPT, WORD_CHARS = 1_000_000, 48
+#: Words that a worker remembers, and the longest word it remembers; a worker outlives its stage, and each of an executor's cores has one.
+WORDS_KEPT, WORD_CHARS = 340_000, 48
 NO_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 #: Cost of a piece of n ids: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024

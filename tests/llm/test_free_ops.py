@@ -467,3 +467,12 @@ def test_balance_is_even():
             cost[k] = cost.get(k, 0) + packing.LINEAR * size + packing.QUADRATIC * size * size
     full = [c for k, c in cost.items() if k < sum(lengths) // 2048]
     assert np.std(full) < 0.25 * np.mean(full)
+
+
+def test_words_of_a_packing_worker_are_bounded():
+    """Beyond 340,000 words new ones get their ids and aren't remembered, since two workers stay in an executor."""
+    words = packing.WordIds(tokenizer_path())
+    want = words.encode("unheard")
+    words.clear()
+    words.update((f"{i} ", b"") for i in range(340_000))
+    assert words.encode("unheard") == want and len(words) == 340_000
